@@ -5,11 +5,11 @@ order of frequency. A document's own most frequent n-grams are ranked the same w
 sum, over them, of how far each is out of place, or the profile's length where it is missing. The language at the
 least distance wins. Equal counts are ordered by the n-gram itself, equal distances by the language's name.
 
-Profiles are learned from at most ``sample`` labelled documents per language, chosen by a hash of the text; everything
+Profiles are learned from at most ``sample`` labelled documents per language, chosen by a hash of the id; everything
 else reads whole texts of all rows. Only the text enters a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. The score is one minus the distance's
-share of its maximum. Rows with a null language or text teach nothing; without a row to learn from, every document is
+share of its maximum. Rows with a null language, text or id teach nothing; without a row to learn from, every document is
 ``und``. Repeated rows and ties give equal results. Empty tables give empty results.
 """
 
@@ -96,22 +96,22 @@ class Profiles:
         return self.langs[best], float(1 - distances[best] / (len(own) * self.ranks))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
-    """Profiles from at most ``sample`` distinct texts per language, the first by hash."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample)
-    texts: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "text").toLocalIterator():
-        texts.setdefault(row.lang, []).append(row.text)
-    by_lang = {}
-    for name, own in texts.items():
-        parts = [grams(t) for t in own]
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
+    """Profiles from at most ``sample`` documents per language, the first by a hash of their ids."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ids = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang").distinct()
+    chosen = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).drop("n")
+    taught = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang"]).select("lang", "text")
+    by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for row in taught.collect():
+        by_lang.setdefault(row.lang, []).append(grams(row.text or ""))
+    profiles = {}
+    for name, parts in by_lang.items():
         found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        top = ranked(found, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64), ranks) if len(found) else found
-        if len(top):
-            by_lang[name] = top
-    return Profiles(by_lang, ranks)
+        if len(found):
+            profiles[name] = ranked(found, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64), ranks)
+    return Profiles(profiles, ranks)
 
 
 def prediction(profiles: Profiles, text: Column) -> Column:
@@ -134,10 +134,10 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Learns from the rows not held out."""
     out = held_out(F.col(doc_id), 5, 0)
-    found = docs.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), prediction(learn(docs.filter(~out), text, lang), F.col(text)).alias("p"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), prediction(learn(docs.filter(~out), text, lang, doc_id), F.col(text)).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without those of unknown language, all columns kept. Learns from all labelled rows."""
-    return docs.filter(prediction(learn(docs, text, lang), F.col(text))["lang"] != UNKNOWN)
+    return docs.filter(prediction(learn(docs, text, lang, doc_id), F.col(text))["lang"] != UNKNOWN)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, exact_dedup, langid, simhash
+from skein.llm import bpe, decontam, exact_dedup, langid, quality, simhash
 from skein.llm.shared import table
 
 
@@ -20,15 +20,25 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op5_decontam": op5_decontam,
     "op6_bpe": op6_bpe,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL = {
