@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, exact_dedup, langid, pii, quality, simhash
+from skein.llm import bpe, decontam, exact_dedup, langid, pii, quality, simhash, warc
 from skein.llm.shared import table
 
 
@@ -32,6 +32,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,8 +47,12 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontam": op5_decontam,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op9_quality": op9_quality,
 }
+#: Base32 of a hexadecimal SHA-1 in DuckDB: eight digits of five bits from each 40 bits.
+_BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(sha, 1 + 10 * CAST(k // 8 AS INT), 10) AS BIGINT) >> (35 - 5 * CAST(k % 8 AS INT))) & 31 AS INT), 1)), '')"""
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -53,4 +61,11 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+             q AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first_id FROM p)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM q""",
 }
