@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, exact_dedup, langid, pii, quality, simhash, warc
+from skein.llm import bpe, chat, decontam, exact_dedup, langid, licenses, pii, quality, simhash, warc
 from skein.llm.shared import table
 
 
@@ -36,10 +36,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -48,12 +56,38 @@ QUERIES = {
     "op5_decontam": op5_decontam,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 #: Base32 of a hexadecimal SHA-1 in DuckDB: eight digits of five bits from each 40 bits.
 _BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(sha, 1 + 10 * CAST(k // 8 AS INT), 10) AS BIGINT) >> (35 - 5 * CAST(k % 8 AS INT))) & 31 AS INT), 1)), '')"""
 
+
+
+def _license_sql() -> str:
+    """The scan in DuckDB: the same patterns and spellings over the documents and the known texts."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    lines = f"regexp_replace(lower(coalesce(text, '')), {text('(?m)' + licenses.COPYRIGHT)}, '', 'g')"
+    lines = f"regexp_replace({lines}, {text(licenses.PUNCTUATION)}, ' ', 'g')"
+    for own, one in licenses.SPELLINGS:
+        lines = f"replace({lines}, {text(own)}, {text(one)})"
+    one = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'), ' ')"
+    known = lambda rows: f"SELECT sha256({one}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {lines} AS lines FROM (VALUES {', '.join(f'({text(i)}, {text(t)})' for i, t in rows)}) AS v(license_id, text)) GROUP BY 1"
+    return f"""
+        WITH notices AS ({known(licenses.notice_texts())}),
+             known AS ({known([*licenses.LICENSES.items(), *licenses.notice_texts()])}),
+             d AS (SELECT doc_id, {lines} AS lines FROM documents),
+             l AS (SELECT DISTINCT doc_id, license_id FROM (SELECT doc_id, sha256(trim(unnest(string_split(lines, chr(10))), ' ')) AS digest FROM d) JOIN notices USING (digest)),
+             n AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notice_ids FROM l GROUP BY doc_id)
+        SELECT d.doc_id, sha256({one}) AS text_digest, known.license_id, coalesce(notice_ids, '') AS notice_ids
+        FROM d LEFT JOIN known ON known.digest = sha256({one}) LEFT JOIN n USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -68,4 +102,9 @@ ORACLE_SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM q""",
+    "op8_chat": """
+        SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, CAST(0 AS BIGINT) AS order_level, CAST(0 AS BIGINT) AS n_calls, CAST(NULL AS BIGINT) AS call_turn,
+               '' AS problems, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
+        FROM conversations""",
+    "op10_licenses": _license_sql(),
 }
