@@ -1,12 +1,56 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, decontamination, encoding."""
+"""The corpus pipeline: documents of a known language, one of each group of exact and then of near copies, none that holds
+a benchmark item, encoded as tokens. Each stage works on all that its predecessor kept."""
 
-from skein.llm import exact_dedup
+from __future__ import annotations
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs))]
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein.llm import bpe, decontam, exact_dedup, langid, simhash
+from skein.llm.shared import stage, table
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or without a text, go."""
+    return langid.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original stays, then the smallest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by fingerprints the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    return docs.select("doc_id", "lang", "source", bpe.tokens(F.col("text")).alias("t")).select(
+        "doc_id", "lang", "source", F.size("t.ids").cast("long").alias("n_tokens"), "t.ids", "t.ids_sha256", "t.decoded_sha256"
+    )
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding", encode),
+]
+
+#: No stage but the second can be expressed in SQL; the tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

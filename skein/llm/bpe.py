@@ -35,6 +35,7 @@ TOGETHER = 1 << 20
 #: Rows of a matrix.
 ROWS = 1 << 14
 ENCODING = "struct<ids:binary,decoded:string>"
+TOKENS = "struct<ids:array<int>,ids_sha256:string,decoded_sha256:string>"
 DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 _loaded: dict[str, "Bpe"] = {}
@@ -239,6 +240,28 @@ def digests(text: Column, path: str | None = None) -> Column:
     return F.arrow_udf(batches, DIGESTS)(text)
 
 
+def tokens(text: Column, path: str | None = None) -> Column:
+    """A struct of the ids as an array, and SHA-256 of the ids and of the text decoded from them."""
+    path = path or default_path()
+
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = Bpe.load(path)
+        for column in columns:
+            found = list(bpe.encode_all([t or "" for t in column.to_pylist()]))
+            offsets = np.cumsum([0, *(len(i) // 4 for i in found)])
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in found], pa.string()),
+                ],
+                names=["ids", "ids_sha256", "decoded_sha256"],
+            )
+
+    batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, TOKENS)(text)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     found = docs.select(F.col(doc_id).alias("doc_id"), digests(F.col(text), path).alias("e"))
