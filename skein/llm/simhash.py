@@ -56,7 +56,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         shingles = map(join, zip(*(found[i:] for i in range(words)), strict=False))
     ones, n = np.zeros(64, np.int64), 0
     while True:
-        hashes = np.fromiter((digest(s, SEED) for s, _ in zip(shingles, range(CHUNK), strict=False)), np.uint64)
+        hashes = np.fromiter((digest(s, SEED) for _, s in zip(range(CHUNK), shingles, strict=False)), np.uint64)
         if not len(hashes):
             break
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
