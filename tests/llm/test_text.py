@@ -1,0 +1,259 @@
+"""Language ID, PII, decontamination, encoding and quality on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from skein.llm import bpe, decontam, langid, pii, quality
+
+TEXTS = [None, "", " ", "12 + 3", "!", "the cat and the dog", "le chat et le chien", "中文", "Σίσυφος ΟΔΟΣ İstanbul\x1cx", "a" * 70_000, "the " * 9000]
+
+
+def frame(spark, rows, schema="doc_id long, text string, lang string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def profiles_by_hand(text, ranks):
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = {}
+    for w in words:
+        padded = f"_{w}_"
+        for n in (1, 2, 3):
+            for k in range(len(padded) - n + 1):
+                g = padded[k : k + n]
+                if g.strip("_") and not (n == 3 and g[1] == "_"):
+                    counts[g] = counts.get(g, 0) + 1
+    return sorted(counts.values(), reverse=True)[:ranks]
+
+
+def test_grams_are_those_of_padded_words(monkeypatch):
+    chance = random.Random(1)
+    for chunk in (langid.CHUNK, 5):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for _ in range(100):
+            text = "".join(chance.choice("abÉ 1.\n") for _ in range(chance.randint(1, 60)))
+            found, counts = langid.grams(text)
+            assert sorted(counts.tolist(), reverse=True)[:50] == profiles_by_hand(text, 50)
+            assert len(set(found.tolist())) == len(found)
+
+
+def test_out_of_place_distance():
+    profiles = langid.Profiles({"a": np.array([5, 7, 9]), "b": np.array([9, 7, 5])}, 3)
+    profiles.place.setflags(write=False)
+    assert profiles.langs == ["a", "b"]
+    english = langid.Profiles({k: langid.ranked(*langid.grams(t), 50) for k, t in (("en", "the cat and the dog"), ("fr", "le chat et le chien"))}, 50)
+    assert english.predict("the dog and") [0] == "en"
+    assert english.predict("le chien")[0] == "fr"
+    assert english.predict("中文") == ("en", 0.0)
+    assert english.predict("12 !") == ("und", 0.0)
+    assert english.predict(None) == ("und", 0.0)
+
+
+def test_identify(spark):
+    rows = [(k, t, ("en" if "the" in (t or "") else "fr" if "le" in (t or "") else None)) for k, t in enumerate(TEXTS * 3)] + [(None, "the dog", "en"), (7, None, "en")]
+    found = langid.identify(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.lang_pred in ("en", "fr", "und")
+    assert langid.identify(frame(spark, [])).collect() == []
+    assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "abc", None)])).collect()} == {"und"}
+    kept = langid.keep_identified(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert all(any(c.isalpha() for c in r.text) for r in kept.collect())
+
+
+def base_by_hand(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train()
+
+
+def test_base_spans(field):
+    chance = random.Random(2)
+    parts = ["1", "2", "55", "4111111111111111", ".", "@", "a", "b-", "+", "+1", " ", "(", ")", "-", "256", "é", "²", "\n"]
+    for _ in range(4000):
+        text = "".join(chance.choice(parts) for _ in range(chance.randint(0, 22)))
+        base = pii.base_spans(text)
+        assert base == base_by_hand(text)
+        added = pii.added_spans(field, text, base)
+        assert not any(s < e2 and s2 < e for _, s, e in added for _, s2, e2 in base)
+
+
+def test_field_finds_what_the_patterns_miss(field):
+    for kind, text, own in [
+        ("email", "write to john at example dot com now", "john at example dot com"),
+        ("phone", "call (980) 555-2833 or", "(980) 555-2833"),
+        ("card", "card 4111.1111.1111.1111 ok", "4111.1111.1111.1111"),
+        ("secret", 'token = "5bd4f3f2c226668020056c2469c653445539f8d7" end', "5bd4f3f2c226668020056c2469c653445539f8d7"),
+    ]:
+        assert [(k, text[s:e]) for k, s, e in pii.added_spans(field, text, pii.base_spans(text))] == [(kind, own)]
+    for text in ("version 1.2.3 on 2024-01-05 at 10:30", "a 300.400.1.2 b 12345678 c", "plain words only"):
+        assert pii.added_spans(field, text, pii.base_spans(text)) == []
+
+
+def test_decoding_equals_enumeration(field):
+    """The dynamic program finds the best of all segmentations."""
+    text = "call (980) 555-2833 4111.1111.1111.1111"
+    tokens = pii.Tokens(text, [m.span() for m in pii._token(text)])
+    scored = [(i, j, max((field.score(k, f), k) for k in pii.LABELS)) for i, j, f in tokens.candidates()]
+
+    def best(at):
+        if at >= len(tokens.spans):
+            return 0.0
+        return max([best(at + 1), *(s + best(j) for i, j, (s, _) in scored if i == at)])
+
+    found = field.decode(tokens, [])
+    total = sum(next(s for i, j, (s, k) in scored if (tokens.spans[i][0], tokens.spans[j - 1][1], k) == (b, e, kind)) for kind, b, e in found)
+    assert abs(total - best(0)) < 1e-9
+
+
+def test_pii_rows(spark):
+    texts = [*TEXTS, "x@y.zz 1.2.3.4 4111111111111111 +1 (437) 555-0689", "1." * 3000, "@" * 3000, "9" * 3000, "+1(" * 2000]
+    rows = pii.find(frame(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()
+    for r in rows:
+        base = base_by_hand(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in pii.KINDS)
+        assert set(filter(None, pii.joined(base).split(","))) <= set(filter(None, r.spans.split(",")))
+    assert pii.find(frame(spark, [])).collect() == []
+
+
+def align_by_hand(item, passage):
+    best, h = 0, [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(passage) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if item[i - 1] == passage[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            best = max(best, h[i][j])
+    return best
+
+
+def test_alignment():
+    chance = random.Random(4)
+    for _ in range(300):
+        a, b = ([chance.randint(1, 4) for _ in range(chance.randint(0, 12))] for _ in range(2))
+        score, first, last = decontam.align(np.array(a, np.int64), np.array(b, np.int64))
+        assert score == align_by_hand(a, b)
+        if score:
+            assert align_by_hand(a, b[first : last + 1]) == score
+
+
+def decontam_tables(spark):
+    chance = random.Random(6)
+    word = lambda: "".join(chance.choice("abcdefghijkl") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(20))) for k in range(6)] + [(90, None), (91, ""), (92, "too short"), (5, "of the and to of the and to")]
+    filler = lambda n: " ".join(word() for _ in range(n))
+    docs, expected = [], set()
+    for k in range(6):
+        words = items[k][1].split()
+        docs.append((k, f"{filler(30)}. {' '.join(words).upper()}, {filler(30)}"))
+        edited = [w if n % 6 else word() for n, w in enumerate(words)]
+        docs.append((100 + k, filler(10) + " " + " ".join(edited[:10] + [word()] + edited[10:])))
+        docs.append((200 + k, filler(50) + " ".join(words[:6])))
+        expected |= {(k, k), (100 + k, k)}
+    docs += [(300 + k, filler(80)) for k in range(20)] + [(400, None), (401, ""), (402, "too short"), (403, "of the and of to the and")]
+    docs += [(0, docs[0][1])]
+    return spark.createDataFrame([(d, t, "e") for d, t in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), expected
+
+
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 40])
+def test_contaminations(spark, block_words):
+    docs, items, expected = decontam_tables(spark)
+    found = decontam.contaminations(docs, items, block_words=block_words).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert len(found) == len(expected) + 1
+    assert all(r.score == 1.0 for r in found if r.doc_id < 100)
+    clean = decontam.decontaminate(docs, items, block_words=block_words)
+    assert clean.columns == docs.columns
+    assert sorted(r.doc_id for r in clean.collect()) == sorted([*range(200, 206), *range(300, 320), *range(400, 404)])
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, items, _ = decontam_tables(spark)
+    assert decontam.contaminations(docs.limit(0), items).collect() == []
+    assert decontam.contaminations(docs, items.limit(0)).collect() == []
+    assert decontam.decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
+def test_a_passage_stays_rare_however_often_it_leaked(spark):
+    _, items, _ = decontam_tables(spark)
+    text = items.filter("item_id = 1").first().text
+    docs = spark.createDataFrame([(k, text) for k in range(50)], "doc_id long, text string")
+    assert decontam.contaminations(docs, items).count() == 50
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(bpe.default_path())
+
+
+def test_encoding_equals_the_library(library):
+    own, chance = bpe.Bpe.load(bpe.default_path()), random.Random(7)
+    parts = ["a", "b", " ", "\n", "\x1c", "\x85", "'s", "'S", "<|endoftext|>", "<|startoftext|>", "<|", "é", "é", "Σ", "ς", "İ", "ß", "中", "😀", "1", "²", "!", "_", "ﬁ", "가", "\x00", "the"]
+    texts = [t or "" for t in TEXTS] + ["".join(chance.choice(parts) for _ in range(chance.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(chance.choice("abcdethinaor") for _ in range(n)) for n in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 3000)]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected
+        assert own.decode(ids) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_encoding_forgets_without_harm(monkeypatch, library):
+    monkeypatch.setattr(bpe, "REMEMBER", 5)
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    own = bpe.Bpe(bpe.default_path())
+    texts = [f"word{k} the cat, {k} dogs" for k in range(40)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoded_rows(spark, library):
+    rows = bpe.encode_documents(frame(spark, [(k, t, None) for k, t in enumerate(TEXTS)])).collect()
+    for r in rows:
+        ids = library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    both = frame(spark, [(1, "the cat", None)]).select(bpe.encoding("text").alias("e"), bpe.tokens("text").alias("t")).first()
+    assert np.frombuffer(both.e.ids, "<u4").tolist() == both.t.ids and both.e.decoded == "the</w> cat</w>"
+    assert bpe.encode_documents(frame(spark, [])).collect() == []
+
+
+def quality_tables(spark):
+    chance = random.Random(8)
+    word = lambda: "".join(chance.choice(("an", "the", "or", "in", "es", "re")) for _ in range(3))
+    docs = [(k, " ".join((word().upper() + "!!") if k % 4 == 0 else word() for _ in range(120)) + ".") for k in range(400)]
+    labels = [(k, int(k % 4 != 0), 0) for k in range(400)] + [(None, 1, 0), (3, None, 0), (9999, 0, 0)]
+    return docs + [(500, None), (501, ""), (502, "x" * 100_000), (None, "the")], labels
+
+
+def test_quality(spark):
+    docs, labels = quality_tables(spark)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), marks).collect()
+    assert len(found) == len(docs)
+    truth = {k: q for k, q, _ in labels if q is not None}
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) > 0.95 * len(held)
+    for r in found:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_quality_with_little_to_learn(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    for rows, score in (([], 0.5), ([(1, 1, 0)], 2 / 3), ([(1, 0, 0), (3, 1, 0)], 1 / 3)):  # no row 3, and row 2 is held out
+        found = quality.score_documents(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+        assert len(found) == 2 and all(abs(r.score - score) < 1e-9 for r in found)
+    assert quality.score_documents(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
