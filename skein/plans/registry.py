@@ -1,5 +1,746 @@
-"""Registered queries of the library's own operators, and their SQL."""
+"""Registered queries of the library's own operators over whole tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from skein.functions import bits
+from skein.functions.bins import Bins, approx_ln, linear, logarithmic, square_root
+from skein.operators import counts, hist, moving, order, setops, sketch, stats, tables
+from skein.plans import streams
+from skein.sources import text
+
+FLAGSHIP = "lg_quantiles"
 QUERIES = {}
 ORACLE_SQL = {}
-FLAGSHIP = "lg_quantiles"
+
+DELIMITER_CLASS = "[" + "".join(f"\\x{{{ord(c):02x}}}" for c in text.DELIMITERS) + "]+"
+
+
+def query(sql: str | None = None):
+    """Register a function of (load, spark), where load reads a table of the given folder."""
+
+    def register(function):
+        def run(spark, sf_dir):
+            return function(lambda name: text.load(spark, sf_dir, name), spark)
+
+        QUERIES[function.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def rounded(df, *names, to=6):
+    for name in names:
+        df = df.withColumn(name, F.round(name, to))
+    return df
+
+
+# ---- counts and top-k
+
+
+@query("SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1 ORDER BY cnt DESC, l_partkey DESC LIMIT 10")
+def most_common_part(load, _):
+    return counts.most_common(load("lineitem"), "l_partkey")
+
+
+@query("""SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 HAVING round(sum(o_totalprice), 2) >= 100000
+          ORDER BY total DESC, o_custkey DESC LIMIT 25""")
+def top_by_val_min(load, _):
+    totals = load("orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return counts.top_by_value(totals, "o_custkey", "total", 25, 100_000)
+
+
+@query("SELECT DISTINCT o_custkey FROM orders ORDER BY 1 DESC LIMIT 12")
+def top_k_values(load, _):
+    return counts.top_k(load("orders").select("o_custkey").distinct(), "o_custkey", 12, ascending=True)
+
+
+@query("""SELECT * FROM (SELECT l_returnflag, l_partkey, count(*) AS cnt, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_partkey DESC) AS place
+          FROM lineitem GROUP BY 1, 2) WHERE place <= 5""")
+def top_in_groups(load, _):
+    by = load("lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.top_in_groups(by, "l_returnflag", "l_partkey", "cnt", 5)
+
+
+@query("""SELECT user_id, CAST(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) AS BIGINT) AS cnt FROM events GROUP BY 1
+          HAVING sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) <> 0""")
+def counter_zero_drop(load, _):
+    amount = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)
+    return counts.counter(load("events").withColumn("amount", amount), "user_id", "amount")
+
+
+@query("SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1")
+def counter_merge(load, _):
+    rows = load("lineitem").select("l_partkey", "l_linenumber")
+    odd, even = (counts.frequency(rows.filter(F.col("l_linenumber") % 2 == k), "l_partkey") for k in (1, 0))
+    return counts.merge(odd, even, "l_partkey")
+
+
+@query("SELECT event_type, count(*) AS cnt, round(count(*) / (SELECT count(*) FROM events), 9) AS share FROM events GROUP BY 1")
+def freq_fraction(load, _):
+    return rounded(counts.shares(counts.frequency(load("events"), "event_type"), "event_type"), "share", to=9)
+
+
+@query("""WITH p AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS place FROM events),
+               w AS (SELECT event_type, sum(pow(0.999::DOUBLE, (SELECT count(*) FROM events)::DOUBLE - place)) AS weight FROM p GROUP BY 1)
+          SELECT event_type, round(weight, 6) AS weight, round(weight / (SELECT sum(weight) FROM w), 6) AS share FROM w""")
+def frecency_event_type(load, _):
+    return rounded(counts.frecency(load("events"), "event_type", ["ts", "event_id"], 0.999), "weight", "share")
+
+
+@query("SELECT o_custkey, count(*) AS cnt FROM orders GROUP BY 1 HAVING count(*) >= 12")
+def repeats_ge(load, _):
+    return counts.repeats(load("orders"), "o_custkey", 12)
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS n_unique, count(*) AS n_total, CAST((SELECT sum(length(CAST(k AS VARCHAR))) FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem)) AS BIGINT) AS n_chars FROM lineitem")
+def unique_total(load, _):
+    return counts.summary(load("lineitem"), "l_suppkey")
+
+
+# ---- scans of text
+
+
+@query("SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) GROUP BY 1")
+def word_freq_alpha(load, _):
+    return counts.frequency(text.words_alphabetic(load("documents")), "word")
+
+
+@query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_split_to_array(text, '{DELIMITER_CLASS}')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
+def word_freq_delim(load, _):
+    return counts.frequency(text.words_between(load("documents")), "word")
+
+
+@query(r"""SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{20}]+')) AS word FROM documents)
+           WHERE word <> '' GROUP BY 1""")
+def word_freq_visible(load, _):
+    return counts.frequency(text.words_visible(load("documents")), "word")
+
+
+LINES_SQL = "SELECT unnest(string_split(CASE WHEN text LIKE '%' || chr(10) THEN substr(text, 1, length(text) - 1) ELSE text END, chr(10))) AS line FROM documents"
+
+
+@query(f"SELECT line, count(*) AS cnt FROM ({LINES_SQL}) GROUP BY 1 ORDER BY cnt DESC, line DESC LIMIT 20")
+def line_freq(load, _):
+    return counts.line_frequency(text.lines(load("documents")), n=20)
+
+
+@query(f"SELECT count(DISTINCT line) AS n_unique, count(*) AS n_total, (SELECT CAST(sum(length(line)) AS BIGINT) FROM (SELECT DISTINCT line FROM ({LINES_SQL}))) AS n_chars FROM ({LINES_SQL})")
+def unique_lines(load, _):
+    return counts.summary(text.lines(load("documents")), "line")
+
+
+@query("""SELECT format('{:.9f} {} {:.6g}', cnt / sum(cnt) OVER (), event_type, cnt::DOUBLE) AS line FROM (SELECT event_type, count(*) AS cnt FROM events GROUP BY 1)""")
+def formatted_counts(load, _):
+    return text.formatted(counts.frequency(load("events"), "event_type"), "@f @k @c", "event_type", "cnt")
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+               s AS (SELECT word, array_to_string(list_sort(string_split(word, '')), '') AS letters FROM w)
+          SELECT letters, count(*) AS n, string_agg(word, ' ' ORDER BY word) AS words FROM s GROUP BY 1 HAVING count(*) >= 2""")
+def anagram_groups(load, _):
+    return tables.anagrams(text.words_alphabetic(load("documents")))
+
+
+# ---- keyed tables
+
+
+def _status_updates(load):
+    return load("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("ord"))
+
+
+@query("SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1")
+def last_write_wins(load, _):
+    return tables.last_write(_status_updates(load), "k", "v", "ord")
+
+
+@query("""SELECT k, arg_max(v, late * 1000000000 + ord) AS v FROM (
+            SELECT c_custkey AS k, c_mktsegment AS v, 0 AS late, c_custkey AS ord FROM customer
+            UNION ALL SELECT o_custkey, o_orderpriority, 1, o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
+def upsert_last(load, _):
+    base = load("customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_custkey").alias("ord"))
+    return tables.upsert(base, _status_updates(load).join(load("orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("ord")), "ord"), "k", "v", "ord")
+
+
+def _customers_with_orders(load):
+    return tables.last_write(_status_updates(load), "k", "v", "ord")
+
+
+@query("SELECT c_custkey AS k, coalesce(v, 'none') AS v FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def get_or_default(load, _):
+    return tables.get(_customers_with_orders(load), load("customer").select(F.col("c_custkey").alias("k")), "k", "v", F.lit("none"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def key_lookup(load, _):
+    return tables.get(load("nation").select("n_nationkey", "n_name"), load("nation").filter("n_nationkey < 20").select("n_nationkey"), "n_nationkey", "n_name", required=True)
+
+
+@query("SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS had FROM customer")
+def contains_key(load, _):
+    return tables.contains(_status_updates(load), load("customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("""SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS v, true AS had FROM orders GROUP BY 1
+          UNION ALL SELECT c_custkey, 'new', false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def get_or_put(load, _):
+    return tables.get_or_put(_customers_with_orders(load), load("customer").select(F.col("c_custkey").alias("k")), "k", "v", F.lit("new"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def anti_delete(load, _):
+    gone = load("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.delete(load("orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
+def delete_one_occurrence(load, _):
+    return tables.delete_one(load("orders").select(F.col("o_custkey").alias("k")), load("customer").select(F.col("c_custkey").alias("k")))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS taken FROM orders""")
+def take_out(load, _):
+    named = load("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    out, left = tables.take(load("orders").select("o_orderkey", "o_custkey"), named, "o_custkey")
+    return out.withColumn("taken", F.lit(True)).unionByName(left.withColumn("taken", F.lit(False)))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1")
+def pop_last(load, _):
+    return tables.pop_last(load("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query("""SELECT coalesce(p_partkey, l) AS k, CASE WHEN p_partkey IS NULL THEN -1 WHEN l IS NULL THEN p_size ELSE p_size + 100 END AS v
+          FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 = 0) FULL JOIN (SELECT DISTINCT l_partkey AS l FROM lineitem WHERE l_quantity >= 45) ON l = p_partkey""")
+def edit_or_init(load, _):
+    base = load("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    return tables.edit_or_init(base, load("lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("k")), "k", "v", lambda v: v + 100, F.lit(-1))
+
+
+@query("SELECT CASE WHEN n_nationkey = 7 THEN 99 ELSE n_nationkey END AS n_nationkey, n_name FROM nation")
+def edit_key(load, _):
+    return tables.edit_key(load("nation").select("n_nationkey", "n_name"), "n_nationkey", 7, 99)
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 41) UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1 OFFSET 2)")
+def nth_pair(load, _):
+    rows = load("orders").select("o_orderkey", "o_totalprice")
+    return tables.nth(rows, "o_orderkey", 41).unionByName(tables.nth(rows, "o_orderkey", -3))
+
+
+@query("SELECT DISTINCT o_totalprice::BIGINT // 1000 AS image FROM (SELECT floor(o_totalprice) AS o_totalprice FROM orders)")
+def map_image(load, _):
+    return tables.map_set(load("orders"), "o_totalprice", lambda x: F.floor(F.floor(x) / 1000))
+
+
+@query("SELECT substr(c_name, length(c_name) - 1) AS index_key, max(c_custkey) AS c_custkey, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY 1")
+def index_by(load, _):
+    return tables.index_by(load("customer").select("c_custkey", "c_name"), lambda f: f.substring(f.col("c_name"), -2, 2), "c_custkey")
+
+
+@query("SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS values FROM orders GROUP BY 1")
+def all_values(load, _):
+    rows = load("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("ord"))
+    return tables.all_values(rows, "k", "v", "ord")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def values_of_keys(load, _):
+    return tables.values_of(load("orders").select("o_orderkey", "o_custkey"), load("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
+@query("SELECT l_suppkey, count(*) AS num_items FROM lineitem GROUP BY 1")
+def num_items(load, _):
+    return tables.multiplicity(load("lineitem"), "l_suppkey")
+
+
+@query("SELECT count(*) AS card FROM lineitem")
+def card(load, _):
+    return tables.card(load("lineitem"))
+
+
+@query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
+def include_keys(load, _):
+    return tables.include(load("customer").select(F.col("c_custkey").alias("k")), load("orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def direct_index(load, _):
+    return tables.in_universe(load("nation").select("n_nationkey", "n_name"), "n_nationkey", 0, 63)
+
+
+@query("SELECT true AS same")
+def set_hash_order_free(load, _):
+    rows = load("orders").select("o_custkey")
+    a, b = tables.set_hash(rows, "o_custkey"), tables.set_hash(rows.orderBy(F.col("o_custkey").desc()).unionByName(rows), "o_custkey")
+    return a.crossJoin(b.withColumnRenamed("set_hash", "other")).select((F.col("set_hash") == F.col("other")).alias("same"))
+
+
+# ---- set algebra
+
+
+def _sides(load):
+    return load("customer").select(F.col("c_nationkey").alias("k")), load("supplier").filter("s_suppkey % 7 < 3").select(F.col("s_nationkey").alias("k"))
+
+
+B_SQL = "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 7 < 3"
+
+
+@query(f"SELECT c_nationkey AS k FROM customer UNION ALL (SELECT DISTINCT k FROM ({B_SQL}) WHERE k NOT IN (SELECT c_nationkey FROM customer))")
+def set_union(load, _):
+    return setops.union(*_sides(load))
+
+
+@query(f"SELECT c_nationkey AS k FROM customer INTERSECT ({B_SQL})")
+def set_intersection(load, _):
+    return setops.intersection(*_sides(load))
+
+
+@query(f"SELECT c_nationkey AS k FROM customer EXCEPT ({B_SQL})")
+def set_difference(load, _):
+    return setops.difference(*_sides(load))
+
+
+@query("(SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1) UNION ALL (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+def set_symmetric_difference(load, _):
+    rows = load("orders")
+    a, b = (rows.filter(F.col("o_orderkey") % 2 == k).select(F.col("o_custkey").alias("k")) for k in (0, 1))
+    return setops.symmetric_difference(a, b)
+
+
+COUNTS_SQL = "SELECT k, sum(x) AS x, sum(y) AS y FROM (SELECT l_orderkey AS k, 0 AS x, 1 AS y FROM lineitem UNION ALL SELECT o_orderkey, 1, 0 FROM orders) GROUP BY 1"
+
+
+@query(f"SELECT bool_and(x = 0 OR y = 0) AS disjoint, bool_and(x <= y) AS subset, bool_and(x <= y) AND sum(x) <> sum(y) AS proper, bool_and(x = y) AS equal FROM ({COUNTS_SQL})")
+def multiset_compare(load, _):
+    return setops.compare(load("orders").select(F.col("o_orderkey").alias("k")), load("lineitem").select(F.col("l_orderkey").alias("k")))
+
+
+@query("SELECT true AS equal")
+def table_equal(load, _):
+    rows = load("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("ord"))
+    return setops.equal_tables(rows, rows.orderBy(F.col("ord").desc()), "k", "v", "ord")
+
+
+# ---- histograms and quantiles
+
+
+def quantile_sql(histogram: str, qs, group: str, value: str) -> str:
+    """Mid-rank quantiles, rounded, of the histogram (group, bin, cnt) that a statement gives."""
+    by = f"PARTITION BY {group}" if group else ""
+    head = f"{group}, " if group else ""
+    wanted = ", ".join(f"({q!r}::DOUBLE)" for q in qs)
+    return f"""
+        WITH h AS ({histogram}),
+             s AS (SELECT {head}bin, {value} AS v, sum(cnt::DOUBLE) OVER ({by} ORDER BY bin ROWS UNBOUNDED PRECEDING) - cnt::DOUBLE / 2.0::DOUBLE AS mid, sum(cnt::DOUBLE) OVER ({by}) AS total FROM h),
+             m AS (SELECT *, lead(mid) OVER ({by} ORDER BY bin) AS mid1, lead(v) OVER ({by} ORDER BY bin) AS v1, row_number() OVER ({by} ORDER BY bin) AS n FROM s),
+             x AS (SELECT *, q * total AS x FROM m, (VALUES {wanted}) AS w(q))
+        SELECT {head}q, round(CASE WHEN mid1 IS NULL OR x < mid THEN v ELSE v + (v1 - v) * (x - mid) / (mid1 - mid) END, 6) AS value
+        FROM x WHERE (n = 1 AND x < mid) OR (mid <= x AND (mid1 IS NULL OR x < mid1))"""
+
+
+def bin_sql(x: str, bins: Bins, name: str = "ln") -> str:
+    size = f"abs({x})"
+    inner = f"{name}(greatest({size}, {float(bins.a)!r}::DOUBLE))" if name else f"greatest({size}, {float(bins.a)!r}::DOUBLE)"
+    step = f"CASE WHEN {size} >= {float(bins.b)!r}::DOUBLE THEN {bins.n - 1} ELSE greatest(0, least({bins.n - 2}, CAST(floor(({inner} - {bins.low!r}::DOUBLE) / {bins.width!r}::DOUBLE) AS INT))) END"
+    return f"CASE WHEN {size} < {float(bins.a)!r}::DOUBLE THEN {bins.n} ELSE {bins.n} + (CASE WHEN {x} < 0 THEN -1 ELSE 1 END) * (1 + {step}) END"
+
+
+def value_sql(bins: Bins, inverse: str = "exp({})") -> str:
+    size = inverse.format(f"({bins.low!r}::DOUBLE + {bins.width!r}::DOUBLE * (abs(bin - {bins.n})::DOUBLE - 1 + 0.5::DOUBLE))")
+    return f"CASE WHEN bin = {bins.n} THEN 0.0::DOUBLE WHEN bin > {bins.n} THEN {size} ELSE -({size}) END"
+
+
+PRICES = logarithmic(0.01, 1e7, 2000)
+BALANCES = logarithmic(1.0, 8000.0, 200)
+ROOTS = square_root(1.0, 200_000.0, 500)
+EVENTS = logarithmic(0.001, 1e6, 400)
+QS = (0.0, 0.05, 0.25, 0.5, 0.95, 0.99, 1.0)
+
+
+@query(quantile_sql(f"SELECT l_returnflag, {bin_sql('l_extendedprice', PRICES)} AS bin, count(*) AS cnt FROM lineitem GROUP BY 1, 2", QS, "l_returnflag", value_sql(PRICES)))
+def lg_quantiles(load, _):
+    return rounded(hist.binned_quantiles(load("lineitem"), F.col("l_extendedprice"), PRICES, QS, ["l_returnflag"]), "value")
+
+
+@query(quantile_sql(f"SELECT {bin_sql('o_totalprice', ROOTS, 'sqrt')} AS bin, count(*) AS cnt FROM orders GROUP BY 1", QS, "", value_sql(ROOTS, "({0} * {0})")))
+def sqrt_quantiles(load, _):
+    return rounded(hist.binned_quantiles(load("orders"), F.col("o_totalprice"), ROOTS, QS), "value")
+
+
+UNIFORM = linear(0.0001, 60.0, 500)
+
+
+@query(quantile_sql(f"SELECT l_linestatus, {bin_sql('l_quantity', UNIFORM, '')} AS bin, count(*) AS cnt FROM lineitem GROUP BY 1, 2", QS, "l_linestatus", value_sql(UNIFORM, "{}")))
+def linear_quantiles(load, _):
+    return rounded(hist.binned_quantiles(load("lineitem"), F.col("l_quantity"), UNIFORM, QS, ["l_linestatus"]), "value")
+
+
+@query(quantile_sql("SELECT l_returnflag, l_quantity::INT AS bin, count(*) AS cnt FROM lineitem GROUP BY 1, 2", QS, "l_returnflag", "bin::DOUBLE"))
+def quantile_midrank(load, _):
+    h = hist.histogram(load("lineitem"), F.col("l_quantity").cast("int"), ["l_returnflag"])
+    return rounded(hist.quantiles(h, QS, ["l_returnflag"]), "value")
+
+
+@query(f"SELECT {bin_sql('c_acctbal', BALANCES)} AS bin, count(*) AS cnt FROM customer GROUP BY 1")
+def lg_bins(load, _):
+    return hist.histogram(load("customer"), BALANCES.index(F.col("c_acctbal")))
+
+
+@query(f"""SELECT count(*) FILTER (bin = 0) AS underflows, count(*) FILTER (bin = {BALANCES.n}) AS zeros, count(*) FILTER (bin = {2 * BALANCES.n}) AS overflows, count(*) AS total
+           FROM (SELECT {bin_sql('c_acctbal', BALANCES)} AS bin FROM customer)""")
+def lg_under_overflow(load, _):
+    return hist.underflow_overflow(load("customer"), F.col("c_acctbal"), BALANCES)
+
+
+@query(f"SELECT l_returnflag, CAST(count(*) FILTER ({bin_sql('l_extendedprice', PRICES)} <= {bin_sql('20000.0::DOUBLE', PRICES)}) AS BIGINT) AS cdf FROM lineitem GROUP BY 1")
+def lg_cdf(load, _):
+    return hist.count_upto(load("lineitem"), F.col("l_extendedprice"), PRICES, 20_000.0, ["l_returnflag"])
+
+
+QUANTITY_SQL = "SELECT l_returnflag, l_quantity::INT AS bin, count(*) AS cnt FROM lineitem GROUP BY 1, 2"
+
+
+@query(f"""SELECT l_returnflag, bin, cnt AS pmf, CAST(sum(cnt) OVER w AS BIGINT) AS cdf, round(cnt / sum(cnt) OVER g, 9) AS npdf, round(sum(cnt) OVER w / sum(cnt) OVER g, 9) AS ncdf
+           FROM ({QUANTITY_SQL}) WINDOW w AS (PARTITION BY l_returnflag ORDER BY bin ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY l_returnflag)""")
+def hist_distribution(load, _):
+    h = hist.histogram(load("lineitem"), F.col("l_quantity").cast("int"), ["l_returnflag"])
+    return rounded(hist.distribution(h, ["l_returnflag"]), "npdf", "ncdf", to=9)
+
+
+@query(f"""SELECT l_returnflag, s, bin, s1 - cnt AS s0, s1 FROM (SELECT *, CAST(sum(cnt) OVER (PARTITION BY l_returnflag ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s1 FROM ({QUANTITY_SQL})),
+           (VALUES (1::BIGINT), (100), (1000)) AS v(s) WHERE s1 - cnt < s AND s <= s1""")
+def inv_cdf(load, _):
+    h = hist.histogram(load("lineitem"), F.col("l_quantity").cast("int"), ["l_returnflag"])
+    return hist.inverse_cdf(h, (1, 100, 1000), ["l_returnflag"])
+
+
+@query(f"SELECT l_returnflag, min(bin) AS least, max(bin) AS greatest FROM ({QUANTITY_SQL}) GROUP BY 1")
+def hist_extremes(load, _):
+    return hist.extremes(hist.histogram(load("lineitem"), F.col("l_quantity").cast("int"), ["l_returnflag"]), ["l_returnflag"])
+
+
+@query(f"SELECT {bin_sql('l_extendedprice', PRICES)} AS bin, count(*) AS cnt FROM lineitem GROUP BY 1")
+def hist_merge(load, _):
+    rows = load("lineitem")
+    parts = [hist.histogram(rows.filter(F.col("l_linestatus") == s), PRICES.index(F.col("l_extendedprice"))) for s in ("O", "F")]
+    return hist.merge(parts, [PRICES, PRICES])
+
+
+@query("SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS cumsum FROM (SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem GROUP BY 1)")
+def cumsum(load, _):
+    days = load("lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return hist.cumulative(days, "day", "n")
+
+
+# ---- moments
+
+
+@query("SELECT l_returnflag, count(l_extendedprice) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS greatest, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sdev FROM lineitem GROUP BY 1")
+def basic_stats(load, _):
+    return rounded(stats.basic(load("lineitem"), "l_extendedprice", ["l_returnflag"]), "mean", "sdev", to=4)
+
+
+MOMENTS_SQL = """SELECT l_returnflag, count(*) AS n, avg(x) AS m, var_pop(x) AS v, avg(pow(x - a, 3)) / pow(var_pop(x), 1.5) AS sk, avg(pow(x - a, 4)) / pow(var_pop(x), 2) - 3 AS ku, sum(x) AS t
+    FROM (SELECT l_returnflag, l_quantity AS x, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS a FROM lineitem) GROUP BY 1"""
+
+
+@query(f"SELECT l_returnflag, n, round(t, 4) AS total, round(m, 6) AS mean, round(v, 6) AS variance, round(sqrt(v), 6) AS sdev, round(sqrt(v / n), 6) AS stderror, round(sk, 6) AS skew, round(ku, 6) AS kurt FROM ({MOMENTS_SQL})")
+def moments_pop(load, _):
+    return rounded(rounded(stats.moments(load("lineitem"), "l_quantity", ["l_returnflag"]), "total", to=4), "mean", "variance", "sdev", "stderror", "skew", "kurt")
+
+
+@query(f"""SELECT l_returnflag, n, round(v * n / (n - 1), 6) AS variance_s, round(sqrt(v * n / (n - 1)), 6) AS sdev_s, round(sk * sqrt(n::DOUBLE * (n - 1)) / (n - 2), 6) AS skew_s,
+           round((n - 1) * ((n + 1) * ku + 6) / ((n - 2)::DOUBLE * (n - 3)), 6) AS kurt_s FROM ({MOMENTS_SQL})""")
+def moments_sample(load, _):
+    return rounded(stats.sample_moments(load("lineitem"), "l_quantity", ["l_returnflag"]), "variance_s", "sdev_s", "skew_s", "kurt_s")
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, min(l_quantity) AS least, max(l_quantity) AS greatest, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sdev FROM lineitem GROUP BY 1")
+def stats_merge(load, _):
+    parts = stats.basic(load("lineitem"), "l_quantity", ["l_returnflag", "l_linenumber"])
+    return rounded(stats.merge(parts, ["l_returnflag"]), "mean", "sdev")
+
+
+@query("SELECT event_type, user_id, n, round(n / sum(n) OVER (PARTITION BY event_type), 9) AS share FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)")
+def normalized(load, _):
+    by = load("events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(stats.normalized(by, "n", ["event_type"]), "share", to=9)
+
+
+FRAME_SQL = "PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW"
+
+
+@query(f"""SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, round(sqrt(greatest(var_pop(value) OVER w, 1e-30 * pow(avg(value) OVER w, 2))), 6) AS sdev, min(value) OVER w AS least, max(value) OVER w AS greatest,
+           min(value) OVER s AS least_ever, max(value) OVER s AS greatest_ever
+           FROM events WINDOW w AS ({FRAME_SQL}), s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def moving_moments(load, _):
+    out = stats.moving(load("events").select("event_id", "user_id", "ts", "value"), "value", ["user_id"], ["ts", "event_id"], 9)
+    return rounded(out.withColumn("sdev", F.sqrt("variance")), "mean", "sdev").select("event_id", "n", "mean", "sdev", "least", "greatest", "least_ever", "greatest_ever")
+
+
+@query("""SELECT vec_id, len(embedding) AS n, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS sdev, round(list_min(embedding::DOUBLE[]), 6) AS least, round(list_max(embedding::DOUBLE[]), 6) AS greatest FROM embeddings""")
+def array_moments(load, _):
+    made = stats.of_array(F.col("embedding"))
+    return rounded(load("embeddings").select("vec_id", *(c.alias(n) for n, c in made.items())), "mean", "sdev", "least", "greatest")
+
+
+@query("SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda k: round(list_sum(embedding[1:k]::DOUBLE[]), 4)) AS cumsum FROM embeddings WHERE vec_id % 50 = 0")
+def array_cumsum(load, _):
+    return load("embeddings").filter("vec_id % 50 = 0").select("vec_id", F.transform(hist.cumulative_array(F.col("embedding")), lambda x: F.round(x, 4)).alias("cumsum"))
+
+
+# ---- moving histograms
+
+
+def moving_sql(kernel: str, win: int, q: float) -> str:
+    weight = {"flat": "1.0::DOUBLE", "linear": "k::DOUBLE", "exponential": "pow(0.9375::DOUBLE, (n - k)::DOUBLE)"}[kernel]
+    frame = f"PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {win - 1} PRECEDING AND CURRENT ROW"
+    histogram = f"""SELECT event_id, bin, sum({weight}) AS cnt FROM (SELECT event_id, unnest(f) AS bin, generate_subscripts(f, 1) AS k, len(f) AS n FROM
+        (SELECT event_id, list({bin_sql('value', EVENTS)}) OVER ({frame}) AS f FROM events)) GROUP BY 1, 2"""
+    return quantile_sql(histogram, (q,), "event_id", value_sql(EVENTS))
+
+
+def _moving(load, kernel, win, q):
+    out = moving.moving_quantiles(load("events"), "value", EVENTS, (q,), ["event_id"], ["user_id"], ["ts", "event_id"], win, kernel)
+    return rounded(out, "value")
+
+
+@query(moving_sql("flat", 9, 0.5))
+def moving_q_flat(load, _):
+    return _moving(load, moving.FLAT, 9, 0.5)
+
+
+@query(moving_sql("linear", 9, 0.5))
+def moving_q_linear(load, _):
+    return _moving(load, moving.LINEAR, 9, 0.5)
+
+
+@query(moving_sql("exponential", 12, 0.9))
+def moving_q_exp_strict(load, _):
+    return _moving(load, moving.EXPONENTIAL, 12, 0.9)
+
+
+@query(f"SELECT event_id, list_sort(f)[len(f) // 2 + 1] AS median FROM (SELECT event_id, list(value) OVER ({FRAME_SQL.replace('8', '6')}) AS f FROM events)")
+def moving_median_rank(load, _):
+    return moving.moving_median(load("events"), "value", ["user_id"], ["ts", "event_id"], 7).select("event_id", "median")
+
+
+@query(f"""SELECT user_id, bin, round(sum(pow(0.9375::DOUBLE, age::DOUBLE)), 9) AS cnt FROM
+           (SELECT user_id, {bin_sql('value', EVENTS)} AS bin, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events) GROUP BY 1, 2""")
+def ew_hist_final(load, _):
+    out = moving.decayed_histogram(load("events"), EVENTS.index(F.col("value")), ["user_id"], ["ts", "event_id"], 0.9375)
+    return rounded(out, "cnt", to=9)
+
+
+@query()
+def running_q_exp(load, _):
+    import math
+
+    values = [math.exp(EVENTS.low + EVENTS.width * (k + 0.5)) for k in range(EVENTS.n)]
+    index = F.greatest(EVENTS.index(F.col("value")) - EVENTS.n - 1, F.lit(0))
+    return moving.running_quantiles(load("events"), "value", values, index, 0.5, ["event_id"], ["user_id"], ["ts", "event_id"], 0.9375)
+
+
+# ---- order and series
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 100) UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1 OFFSET 99)")
+def order_stat_nth(load, _):
+    rows = load("orders").select("o_orderkey", "o_totalprice")
+    return order.nth(rows, ["o_totalprice", "o_orderkey"], 100).unionByName(order.nth(rows, ["o_totalprice", "o_orderkey"], -100))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def rank_of(load, _):
+    return order.ranks(load("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice) OVER w AS after FROM orders WINDOW w AS (ORDER BY o_totalprice, o_orderkey)")
+def neighbors(load, _):
+    return order.neighbours(load("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "o_totalprice").select("o_orderkey", "before", "after")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM orders GROUP BY 1")
+def equal_run_ends(load, _):
+    return order.run_ends(load("orders"), "o_custkey", "o_orderkey")
+
+
+@query("""WITH r AS (SELECT p_size, sum(count(*)) OVER (ORDER BY p_size) AS upto, count(*) AS w FROM part GROUP BY 1)
+          SELECT n, p_size FROM r, (VALUES (0::BIGINT), (50), (150)) AS v(n) WHERE upto > n AND upto - w <= n""")
+def weighted_nth(load, _):
+    return order.weighted_nth(load("part").withColumn("one", F.lit(1)), "p_size", "one", (0, 50, 150))
+
+
+@query("SELECT bool_or(o_custkey = 77) AS found, min(o_custkey) FILTER (o_custkey >= 77) AS lower_bound FROM orders")
+def seek_key(load, _):
+    return order.seek(load("orders"), "o_custkey", 77)
+
+
+@query("SELECT min(o_totalprice) AS least, max(o_totalprice) AS greatest FROM orders")
+def seek_most(load, _):
+    return order.extremes(load("orders"), "o_totalprice")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_custkey DESC, o_orderkey) AS place FROM orders")
+def stable_sort_pos(load, _):
+    rows = load("orders").select("o_orderkey", "o_orderstatus", (-F.col("o_custkey")).alias("back"))
+    return order.positions(rows, ["o_orderstatus", "back", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("SELECT o_orderstatus, o_custkey, o_orderkey FROM orders ORDER BY 1, 2 DESC, 3 LIMIT 500")
+def stable_sort_first(load, _):
+    return order.stable_sort(load("orders").select("o_orderstatus", "o_custkey", "o_orderkey"), ["o_orderstatus", "o_custkey"], "o_orderkey", ["o_custkey"]).limit(500)
+
+
+@query("""SELECT k, source, row_number() OVER (ORDER BY k, source) AS place FROM (SELECT c_custkey AS k, 0 AS source FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier UNION ALL SELECT p_partkey, 2 FROM part)""")
+def kway_merge_pos(load, _):
+    return order.merge([load(t).select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))], "k")
+
+
+SERIES_SQL = "SELECT *, row_number() OVER w - 1 AS n, lag(value, {0}) OVER w AS x0, value AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(f"SELECT event_id, x0, x FROM ({SERIES_SQL.format(3)}) WHERE n >= 3 AND n % 3 = 0")
+def succ_pairs_stride(load, _):
+    return order.succeeding(load("events"), "value", ["ts", "event_id"], ["user_id"], 3).select("event_id", "x0", "x")
+
+
+@query(f"SELECT event_id, round(x - x0, 6) AS diff, round(x / nullif(x0, 0), 6) AS ratio, round(x / nullif(x0, 0) - 1, 6) AS ret FROM ({SERIES_SQL.format(1)}) WHERE n >= 1")
+def diffs_ratios_returns(load, _):
+    pairs = order.succeeding(load("events"), "value", ["ts", "event_id"], ["user_id"], 1, overlapping=True)
+    return rounded(order.diffs(pairs).select("event_id", "diff", "ratio", "ret"), "diff", "ratio", "ret")
+
+
+@query("""SELECT event_id, round(diff2, 6) AS diff2 FROM (SELECT event_id, d - lag(d) OVER w AS diff2 FROM (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE diff2 IS NOT NULL""")
+def diffs2(load, _):
+    return rounded(order.second_diffs(load("events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "diff2"), "diff2")
+
+
+# ---- scalar functions
+
+
+@query("""SELECT o_orderkey, length(bin(o_orderkey)) - 1 AS lg_floor, length(bin(o_orderkey)) - 1 + CASE WHEN bit_count(o_orderkey) = 1 THEN 0 ELSE 1 END AS lg_ceil, bit_count(o_orderkey) = 1 AS is_pow2,
+          1::BIGINT << (length(bin(o_orderkey)) - 1) AS floor_pow2, 1::BIGINT << (length(bin(o_orderkey)) - 1 + CASE WHEN bit_count(o_orderkey) = 1 THEN 0 ELSE 1 END) AS ceil_pow2,
+          list_reduce(list_transform(range(32), lambda k: ((o_orderkey >> k) & 1) << (31 - k)), lambda x, y: x + y)::BIGINT AS reversed FROM orders WHERE o_orderkey > 0""")
+def pow2_bits(load, _):
+    x = F.col("o_orderkey")
+    return load("orders").filter("o_orderkey > 0").select(
+        "o_orderkey", bits.lg_floor(x).alias("lg_floor"), bits.lg_ceil(x).alias("lg_ceil"), bits.is_pow2(x).alias("is_pow2"), bits.floor_pow2(x).alias("floor_pow2"), bits.ceil_pow2(x).alias("ceil_pow2"),
+        bits.reverse_bits(x, 32).alias("reversed"),
+    )
+
+
+@query("SELECT c_custkey, round(ln(greatest(abs(c_acctbal), pow(2.0::DOUBLE, -126))), 9) AS l FROM customer")
+def ln_magnitude(load, _):
+    return rounded(load("customer").select("c_custkey", approx_ln(F.col("c_acctbal")).alias("l")), "l", to=9)
+
+
+# ---- sketches
+
+HASH_SQL = "(({0} % 2147483647) * {1} + {2}) % 2147483647"
+
+
+@query("SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM lineitem" for r, m in enumerate(sketch.MULTIPLIERS)) + ") GROUP BY 1, 2")
+def cms_grid(load, _):
+    return sketch.count_min(load("lineitem"), "l_partkey", 512)
+
+
+@query("WITH k AS (SELECT DISTINCT l_partkey FROM lineitem), g AS (SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM lineitem" for r, m in enumerate(sketch.MULTIPLIERS)) + ") GROUP BY 1, 2), c AS (" + " UNION ALL ".join(f"SELECT l_partkey, {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM k" for r, m in enumerate(sketch.MULTIPLIERS)) + ") SELECT l_partkey, min(cnt) AS estimate FROM c JOIN g USING (row, cell) GROUP BY 1")
+def cms_estimate(load, _):
+    rows = load("lineitem")
+    halves = [sketch.count_min(rows.filter(F.col("l_linenumber") % 2 == k), "l_partkey", 512) for k in (0, 1)]
+    return sketch.count_min_estimate(sketch.count_min_merge(halves), rows, "l_partkey", 512)
+
+
+H0 = HASH_SQL.format("{0}", sketch.MULTIPLIERS[0], 12345)
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {H0.format('l_partkey')} AS h FROM lineitem ORDER BY 1 LIMIT 256)
+           SELECT round(CASE WHEN count(*) < 256 THEN count(*)::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / 2147483647.0::DOUBLE) END, 6) AS n_unique,
+                  round(CASE WHEN count(*) < 256 THEN 0.0::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / 2147483647.0::DOUBLE) / sqrt(255.0::DOUBLE) END, 6) AS error FROM h""")
+def kmv_distinct(load, _):
+    return rounded(sketch.minimum_values_estimate(sketch.minimum_values(load("lineitem"), "l_partkey", 256), 256), "n_unique", "error")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {H0.format('o_custkey')} AS h FROM orders WHERE o_orderstatus = 'O' ORDER BY 1 LIMIT 256), b AS (SELECT DISTINCT {H0.format('o_custkey')} AS h FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 LIMIT 256),
+           u AS (SELECT h, bit_or(side) AS side FROM (SELECT h, 1 AS side FROM a UNION ALL SELECT h, 2 FROM b) GROUP BY 1 ORDER BY 1 LIMIT 256)
+           SELECT round(sum(CASE WHEN side = 3 THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 9) AS jaccard FROM u""")
+def kmv_jaccard(load, _):
+    rows = load("orders")
+    a, b = (sketch.minimum_values(rows.filter(F.col("o_orderstatus") == s), "o_custkey", 256) for s in ("O", "F"))
+    return rounded(sketch.minimum_values_jaccard(a, b, 256), "jaccard", to=9)
+
+
+@query("""SELECT count(*) AS in_either, count(*) FILTER (side = 3) AS in_both, round(count(*) FILTER (side = 3) / count(*), 9) AS jaccard FROM
+          (SELECT o_custkey, bit_or(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) AS side FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1)""")
+def exact_jaccard(load, _):
+    rows = load("orders")
+    a, b = (rows.filter(F.col("o_orderstatus") == s).select("o_custkey") for s in ("O", "F"))
+    return rounded(sketch.exact_similarity(a, b), "jaccard", to=9)
+
+
+@query(f"""SELECT DISTINCT o_custkey FROM orders WHERE ({H0.format('o_custkey')}) & 65535 IN (SELECT ({H0.format('c_custkey')}) & 65535 FROM customer WHERE c_acctbal < 0)""")
+def fingerprint_set(load, _):
+    known = sketch.fingerprints(load("customer").filter("c_acctbal < 0"), "c_custkey", 16)
+    return sketch.fingerprint_members(known, load("orders").select("o_custkey").distinct(), "o_custkey", 16)
+
+
+@query(f"""SELECT DISTINCT ({H0.format('c_custkey')}) & 65535 AS fp FROM customer WHERE ({H0.format('c_custkey')}) & 65535 NOT IN (SELECT ({H0.format('c_custkey')}) & 65535 FROM customer WHERE c_acctbal < 0)""")
+def fingerprint_deleted(load, _):
+    rows = load("customer")
+    return sketch.fingerprint_remove(sketch.fingerprints(rows, "c_custkey", 16), rows.filter("c_acctbal < 0"), "c_custkey", 16)
+
+
+@query()
+def approx_heavy_hitters(load, _):
+    return sketch.heavy_hitters(load("lineitem"), "l_suppkey", 10)
+
+
+@query()
+def approx_distinct(load, _):
+    return sketch.distinct_sketches(load("lineitem"), "l_partkey")
+
+
+@query()
+def theta_jaccard(load, _):
+    rows = load("orders")
+    a, b = (rows.filter(F.col("o_orderstatus") == s) for s in ("O", "F"))
+    return sketch.theta_similarity(a, b, "o_custkey")
+
+
+@query()
+def kll_quantiles(load, _):
+    return sketch.sketched_quantiles(load("lineitem"), "l_extendedprice", (0.01, 0.25, 0.5, 0.75, 0.99), ["l_returnflag"])
+
+
+@query()
+def kll_shares(load, _):
+    return sketch.sketched_shares(load("lineitem"), "l_extendedprice", (1000.0, 30_000.0, 90_000.0), ["l_returnflag"])
+
+
+@query()
+def skew_report(load, _):
+    return tables.skew(load("lineitem"), "l_partkey", 64)
+
+
+# ---- streams
+
+
+@query("SELECT event_type, count(*) AS cnt FROM events GROUP BY 1")
+def stream_counts(load, spark):
+    return streams.counts_of(load("events"), "event_type")
+
+
+@query(f"""SELECT user_id, ts, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, list_sort(list(value) OVER w)[(count(value) OVER w) // 2 + 1] AS median
+           FROM events WINDOW w AS ({FRAME_SQL.replace('event_id', 'value')})""")
+def stream_moving_stats(load, spark):
+    rows = load("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rounded(streams.moving_of(rows, "user_id", "ts", "value", 9), "mean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
