@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -72,18 +73,22 @@ def running_quantiles(df: DataFrame, x: str, values: Sequence[float], index: Col
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(list(order), kind="stable")
-        weights, last, out = np.zeros(len(points)), [], []
+        weights, last, out = np.zeros(len(points)), deque(), []
+        # how many points of the window each bin holds: without one it weighs nothing, whatever rounding left
+        held = np.zeros(len(points), np.int64)
         for b in own["_bin"]:
             weights *= old
             if win and len(last) == win:
-                gone = last.pop(0)
+                gone = last.popleft()
                 if gone is not None:
-                    weights[gone] = max(0.0, weights[gone] - old**win)
+                    held[gone] -= 1
+                    weights[gone] = max(0.0, weights[gone] - old**win) if held[gone] else 0.0
             known = None if pd.isna(b) else int(b)
             if win:
                 last.append(known)
             if known is not None:
                 weights[known] += 1
+                held[known] += 1
             out.append(interpolated(points, np.where(weights < 1e-300, 0, weights), q))
         return own[names].assign(value=out)
 

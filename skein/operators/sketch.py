@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Odd multipliers and a prime of the integer hash below. Fixed values.
-MULTIPLIERS = (7919, 104729, 1299709, 15485863)
+#: Multipliers of the integer hash below, one for each row of a grid; the multiplier of its second step, and its prime.
+MULTIPLIERS = (1_103_515_245, 1_812_433_253, 1_566_083_941, 1_640_531_527)
+SECOND = 1_597_334_677
 PRIME = 2_147_483_647
 
 
 def integer_hash(key: Column, row: int = 0) -> Column:
-    """A hash in 0..PRIME-1 by integer arithmetic that any SQL engine shares; keys are taken modulo the prime."""
-    small = F.pmod(key.cast("long"), F.lit(PRIME).cast("long"))
-    return F.pmod(small * F.lit(MULTIPLIERS[row]).cast("long") + F.lit(12345 + row).cast("long"), F.lit(PRIME).cast("long"))
+    """A hash in 0..PRIME-1 by integer arithmetic that any SQL engine shares; keys are taken modulo the prime.
+
+    Two multiplications with a shift between them, so that neighbouring keys don't get evenly spaced hashes.
+    """
+    prime = F.lit(PRIME).cast("long")
+    once = F.pmod(F.pmod(key.cast("long"), prime) * F.lit(MULTIPLIERS[row]).cast("long") + F.lit(12345 + row).cast("long"), prime)
+    return F.pmod(once.bitwiseXOR(F.shiftright(once, 13)) * F.lit(SECOND).cast("long"), prime)
 
 
 def count_min(df: DataFrame, key: str, width: int, depth: int = 4, amount: Column | None = None) -> DataFrame:

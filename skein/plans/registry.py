@@ -643,7 +643,8 @@ def ln_magnitude(load, _):
 
 # ---- sketches
 
-HASH_SQL = "(({0} % 2147483647) * {1} + {2}) % 2147483647"
+_ONCE = "((({0} % 2147483647) * {1} + {2}) % 2147483647)"
+HASH_SQL = f"((xor({_ONCE}, {_ONCE} >> 13) * {sketch.SECOND}::BIGINT) % 2147483647)"
 
 
 @query("SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM lineitem" for r, m in enumerate(sketch.MULTIPLIERS)) + ") GROUP BY 1, 2")
