@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.bins import Bins
+from skein.operators.order import running_sum
 
 Made = Callable[[Column], Column]
 
@@ -89,9 +90,9 @@ def underflow_overflow(df: DataFrame, x: Column, bins: Bins) -> DataFrame:
     return hist.agg(one(0).alias("underflows"), one(bins.n).alias("zeros"), one(2 * bins.n).alias("overflows"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
 
 
-def cumulative(counts: DataFrame, order: str, value: str, name: str = "cumsum") -> DataFrame:
-    """Inclusive prefix sums of pre-aggregated rows."""
-    return counts.withColumn(name, F.sum(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def cumulative(df: DataFrame, order: str, value: str, name: str = "cumsum") -> DataFrame:
+    """Inclusive prefix sums in the order of a unique column."""
+    return running_sum(df, [order], value, name)
 
 
 def cumulative_array(values: Column) -> Column:

@@ -43,6 +43,16 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "place", range_ro
     return numbered.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
 
 
+def running_sum(df: DataFrame, order: Sequence[str], weight: str, name: str = "upto", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with the inclusive sum of weights up to each in a total order, by ranges as ``positions`` numbers them."""
+    ranged = df.withColumn("_range", _ranges(df, order, range_rows))
+    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_s"))
+    before = sums.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("_in", F.sum(weight).over(inside))
+    return summed.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+
+
 def nth(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The order statistic at 0-origin place ``n``; a negative one counts from the end."""
     total = df.count()
@@ -52,7 +62,7 @@ def nth(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 def weighted_nth(df: DataFrame, key: str, weight: str, ns: Sequence[int]) -> DataFrame:
     """For each 0-origin place, the key that holds it when a key counts ``weight`` times."""
     sums = df.groupBy(key).agg(F.sum(weight).alias("_w")).filter("_w > 0")
-    running = sums.select(key, F.sum("_w").over(Window.orderBy(key)).alias("_upto"), "_w")
+    running = running_sum(sums, [key], "_w", "_upto")
     wanted = F.explode(F.array(*(F.lit(n).cast("long") for n in ns))).alias("n")
     held = running.select("*", wanted).filter((F.col("_upto") > F.col("n")) & (F.col("_upto") - F.col("_w") <= F.col("n")))
     return held.select("n", key)

@@ -302,6 +302,13 @@ def test_positions_over_ranges(spark, range_rows):
     assert [(r.x, r.k) for r in sorted(found, key=lambda r: r.place)] == expected and sorted(r.place for r in found) == list(range(1, 121))
 
 
+@pytest.mark.parametrize("range_rows", [order.RANGE_ROWS, 10])
+def test_running_sums_over_ranges(spark, range_rows):
+    data = [(k * 7 % 101, k % 5 - 1) for k in range(101)]
+    found = order.running_sum(spark.createDataFrame(data, "k int, w int"), ["k"], "w", "upto", range_rows).collect()
+    assert {r.k: r.upto for r in found} == {k: sum(w for j, w in data if j <= k) for k, _ in data}
+
+
 def test_ranked_access(spark):
     df = column(spark, [3, 1, 2, 2], "int")
     assert [order.nth(df, ["k"], n).first().k for n in (0, 1, 2, 3, -1, -4)] == [1, 2, 2, 3, 3, 1]
