@@ -99,8 +99,8 @@ def run_ends(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def stable_sort(df: DataFrame, keys: Sequence[str], order: str, descending: Sequence[str] = ()) -> DataFrame:
-    """Sorted by the keys, the most significant first; equal rows keep their insertion order."""
-    return df.orderBy(*(F.col(k).desc() if k in descending else F.col(k).asc() for k in keys), F.col(order).asc())
+    """Sorted by the keys, the most significant first; equal rows in insertion order, or the last first if ``descending`` names it."""
+    return df.orderBy(*(F.col(k).desc() if k in descending else F.col(k).asc() for k in [*keys, order]))
 
 
 def merge(inputs: Sequence[DataFrame], key: str) -> DataFrame:

@@ -15,6 +15,11 @@ def card(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("card"))
 
 
+def clear(df: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return df.limit(0)
+
+
 def contains(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``keys`` with whether the table has each."""
     mark = df.select(key).distinct().withColumn("had", F.lit(True))

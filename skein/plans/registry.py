@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
+import math
+
 from pyspark.sql import functions as F
 
 from skein.functions import bits
 from skein.functions.bins import Bins, approx_ln, linear, logarithmic, square_root
-from skein.operators import counts, hist, moving, order, setops, sketch, stats, tables
+from skein.operators import counts, hist, moving, order, setops, sketch, stats, tables, tdigest
 from skein.plans import streams
 from skein.sources import text
 
@@ -537,13 +539,19 @@ def ew_hist_final(load, _):
     return rounded(out, "cnt", to=9)
 
 
-@query()
-def running_q_exp(load, _):
-    import math
+def running_sql(q: float) -> str:
+    """As ``moving_sql`` with exponential weights, over all earlier rows."""
+    histogram = f"""SELECT event_id, bin, sum(pow(0.9375::DOUBLE, (n - k)::DOUBLE)) AS cnt FROM (SELECT event_id, unnest(f) AS bin, generate_subscripts(f, 1) AS k, len(f) AS n FROM
+        (SELECT event_id, list({bin_sql('value', EVENTS)}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS f FROM events)) GROUP BY 1, 2"""
+    return f"SELECT event_id, user_id, r.value FROM ({quantile_sql(histogram, (q,), 'event_id', value_sql(EVENTS))}) AS r JOIN events USING (event_id)"
 
+
+@query(running_sql(0.5))
+def running_q_exp(load, _):
     values = [math.exp(EVENTS.low + EVENTS.width * (k + 0.5)) for k in range(EVENTS.n)]
     index = F.greatest(EVENTS.index(F.col("value")) - EVENTS.n - 1, F.lit(0))
-    return moving.running_quantiles(load("events"), "value", values, index, 0.5, ["event_id"], ["user_id"], ["ts", "event_id"], 0.9375)
+    out = moving.running_quantiles(load("events"), "value", values, index, 0.5, ["event_id"], ["user_id"], ["ts", "event_id"], 0.9375)
+    return rounded(out, "value")
 
 
 # ---- order and series
@@ -720,6 +728,12 @@ def kll_quantiles(load, _):
     return sketch.sketched_quantiles(load("lineitem"), "l_extendedprice", (0.01, 0.25, 0.5, 0.75, 0.99), ["l_returnflag"])
 
 
+@query()
+def tdigest_quantiles(load, _):
+    digests = tdigest.digest(load("lineitem"), "l_extendedprice", ["l_returnflag"])
+    return tdigest.quantiles(digests, (0.0, 0.01, 0.5, 0.99, 1.0), ["l_returnflag"])
+
+
 @query()
 def kll_shares(load, _):
     return sketch.sketched_shares(load("lineitem"), "l_extendedprice", (1000.0, 30_000.0, 90_000.0), ["l_returnflag"])

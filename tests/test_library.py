@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import bits
+from skein.functions import bits, hashes
 from skein.functions.bins import linear, logarithmic, square_root
-from skein.operators import counts, hist, moving, order, setops, sketch, stats, tables
+from skein.operators import counts, hist, moving, order, setops, sketch, stats, tables, tdigest
 from skein.sources import text
 from skein.streaming import running
 
@@ -208,6 +208,30 @@ def test_gaussian_quantiles(spark):
         assert abs((data <= sketched[q]).mean() - q) < 0.02
 
 
+def test_digests(spark):
+    data = np.random.default_rng(2).normal(size=8000)
+    df = spark.createDataFrame([("ab"[k % 2], float(x)) for k, x in enumerate(data)] + [("a", None)], "g string, x double")
+    digests = tdigest.digest(df, "x", ["g"]).cache()
+    assert all(len(r.centroids) < 250 for r in digests.collect()) and [r.weight for r in tdigest.weight(digests).collect()] == [4000.0, 4000.0]
+    whole = tdigest.merge(digests.select("centroids"))
+    for r in tdigest.quantiles(whole, (0.0, 0.001, 0.05, 0.5, 0.95, 0.999, 1.0)).collect():
+        assert abs((data <= r.value).mean() - r.q) < 0.005
+        assert r.q not in (0.0, 1.0) or r.value == np.quantile(data, r.q)
+    for r in tdigest.cdf(whole, (-9.0, -1.0, 0.0, 2.0, 9.0)).collect():
+        assert abs((data <= r.x).mean() - r.share) < 0.005
+    assert tdigest.digest(df.filter("g = 'c'"), "x", ["g"]).collect() == []
+    with pytest.raises(ValueError, match="0..1"):
+        tdigest.quantiles(whole, (2.0,))
+    with pytest.raises(Exception, match="NaN"):
+        tdigest.digest(column(spark, [float("nan")], "double"), "k").collect()
+
+
+def test_hashes(spark):
+    rows_ = spark.range(2000).select(hashes.salted(F.col("id")).alias("a"), hashes.salted(F.col("id"), 1).alias("b"), hashes.unit(F.col("id")).alias("u"), hashes.bucket(F.col("id"), 7).alias("p"), hashes.masked(F.col("id"), 8).alias("m"), hashes.identity(F.col("id")).alias("i")).collect()
+    assert len({r.a for r in rows_}) == 2000 and all(r.a != r.b for r in rows_) and all(0 <= r.u < 1 for r in rows_)
+    assert abs(np.mean([r.u for r in rows_]) - 0.5) < 0.03 and {r.p for r in rows_} == set(range(7)) and {r.m for r in rows_} <= set(range(256)) and [r.i for r in rows_] == list(range(2000))
+
+
 def test_cumulative_sums(spark):
     df = spark.createDataFrame([(1, 5), (2, -2), (3, 4)], "t int, v int")
     assert rows(hist.cumulative(df, "t", "v"), "cumsum") == [(3,), (5,), (7,)]
@@ -326,6 +350,8 @@ def test_merges_and_sorts(spark):
     people = spark.createDataFrame([(3.0, 50, 0), (6.0, 30, 1), (5.0, 30, 2)], "f double, age int, ord int")
     assert [(r.f, r.age) for r in order.stable_sort(people, ["age", "f"], "ord").collect()] == [(5.0, 30), (6.0, 30), (3.0, 50)]
     assert [r.ord for r in order.stable_sort(people, ["age"], "ord", ["age"]).collect()] == [0, 1, 2]
+    assert [r.ord for r in order.stable_sort(people, ["age"], "ord", ["ord"]).collect()] == [2, 1, 0]
+    assert tables.clear(people).count() == 0
 
 
 def test_series(spark):
