@@ -27,10 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.shared import slices
+
 #: Words with more parts than this keep their ranks in a heap.
 SHORT = 64
 #: Pieces of text that a process remembers, and the code points of text that are encoded together.
-REMEMBER = 400_000
+REMEMBER = 150_000
 TOGETHER = 1 << 20
 #: Rows of a matrix.
 ROWS = 1 << 14
@@ -38,6 +40,8 @@ ENCODING = "struct<ids:binary,decoded:string>"
 TOKENS = "struct<ids:array<int>,ids_sha256:string,decoded_sha256:string>"
 DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
+TOKEN_ARRAY = pa.struct([pa.field("ids", pa.list_(pa.int32())), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())])
+
 _loaded: dict[str, "Bpe"] = {}
 
 
@@ -210,12 +214,10 @@ class Bpe:
 
 def encoding(text: Column, path: str | None = None) -> Column:
     """A struct of ids (little-endian unsigned 32-bit integers) and the text decoded from them."""
-    path = path or default_path()
-
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = Bpe.load(path)
+        bpe = Bpe.load(path or default_path())
         for column in columns:
-            found = list(bpe.encode_all([t or "" for t in column.to_pylist()]))
+            found = [i for part in slices(column) for i in bpe.encode_all([t or "" for t in part])]
             yield pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(map(bpe.decode, found), pa.string())], names=["ids", "decoded"])
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -225,12 +227,10 @@ def encoding(text: Column, path: str | None = None) -> Column:
 def digests(text: Column, path: str | None = None) -> Column:
     """A struct of the number of tokens and SHA-256 of the ids and of the decoded text: what ``encoding`` returns, hashed
     where it is made, so that neither leaves the Python process."""
-    path = path or default_path()
-
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = Bpe.load(path)
+        bpe = Bpe.load(path or default_path())
         for column in columns:
-            found = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(bpe.decode(i).encode()).hexdigest()) for i in bpe.encode_all([t or "" for t in column.to_pylist()])]
+            found = [(len(i) // 4, *_sha256(bpe, i)) for part in slices(column) for i in bpe.encode_all([t or "" for t in part])]
             yield pa.StructArray.from_arrays(
                 [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
                 names=["n_tokens", "ids_sha256", "decoded_sha256"],
@@ -240,23 +240,26 @@ def digests(text: Column, path: str | None = None) -> Column:
     return F.arrow_udf(batches, DIGESTS)(text)
 
 
+def _sha256(bpe: Bpe, ids: bytes) -> tuple[str, str]:
+    """SHA-256 of ids and of the text decoded from them."""
+    return hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+
+
+def _token_array(bpe: Bpe, texts: list[str | None]) -> pa.StructArray:
+    found = list(bpe.encode_all([t or "" for t in texts]))
+    offsets = np.cumsum([0, *(len(i) // 4 for i in found)])
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+    digests = [_sha256(bpe, i) for i in found]
+    return pa.StructArray.from_arrays([ids, pa.array([d[0] for d in digests], pa.string()), pa.array([d[1] for d in digests], pa.string())], fields=list(TOKEN_ARRAY))
+
+
 def tokens(text: Column, path: str | None = None) -> Column:
     """A struct of the ids as an array, and SHA-256 of the ids and of the text decoded from them."""
-    path = path or default_path()
-
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = Bpe.load(path)
+        bpe = Bpe.load(path or default_path())
         for column in columns:
-            found = list(bpe.encode_all([t or "" for t in column.to_pylist()]))
-            offsets = np.cumsum([0, *(len(i) // 4 for i in found)])
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in found], pa.string()),
-                ],
-                names=["ids", "ids_sha256", "decoded_sha256"],
-            )
+            parts = [_token_array(bpe, part) for part in slices(column)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], TOKEN_ARRAY)
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, TOKENS)(text)

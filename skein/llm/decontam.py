@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.shared import slices
+
 SEED = 4
 RARE = 1e-3
 THRESHOLD = 0.4
 LEAST = 8
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 MATCH, OTHER = 2, -1
 MATCHES = "array<struct<item:int,score:double,first_word:int,last_word:int>>"
 
@@ -72,9 +74,9 @@ class Items:
     """One block of test items, with the seeds to find them by."""
 
     def __init__(self, texts: list[str | None]):
-        self.texts = [split_words(t) for t in texts]
-        self.number = {w: n for n, w in enumerate(sorted({w for t in self.texts for w in t}), 1)}
-        self.items = [np.array([self.number[w] for w in t], np.int64) for t in self.texts]
+        own = [split_words(t) for t in texts]
+        self.number = {w: n for n, w in enumerate(sorted({w for t in own for w in t}), 1)}
+        self.items = [np.array([self.number[w] for w in t], np.int64) for t in own]
         self.seeds: np.ndarray = np.empty(0, np.uint64)
         self.where: list[list[tuple[int, int]]] = []
 
@@ -154,9 +156,10 @@ def _count_words(docs: DataFrame, text: str, items: Items) -> tuple[np.ndarray,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, documents = np.zeros(len(items.number) + 1, np.int64), 0
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts += np.bincount(items.numbers(value or ""), minlength=len(counts))
-                documents += 1
+            for part in slices(batch.column(0)):
+                for value in part:
+                    counts += np.bincount(items.numbers(value or ""), minlength=len(counts))
+                documents += len(part)
         seen = np.flatnonzero(counts)
         word, n = np.append(seen, -1), np.append(counts[seen], documents)
         yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
@@ -186,7 +189,7 @@ def matches_column(items: Items, text: Column) -> Column:
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
         for column in columns:
-            yield pa.array([items.matches(t) for t in column.to_pylist()], kind)
+            yield pa.array([items.matches(t) for part in slices(column) for t in part], kind)
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, MATCHES)(text)

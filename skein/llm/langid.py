@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.shared import slices
+
 UNKNOWN = "und"
 #: Bounds of what is learned: documents per language, and n-grams per profile (also per document).
 SAMPLE = 300
@@ -119,7 +121,7 @@ def prediction(profiles: Profiles, text: Column) -> Column:
 
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            found = [profiles.predict(t) for t in column.to_pylist()]
+            found = [profiles.predict(t) for part in slices(column) for t in part]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"])
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}

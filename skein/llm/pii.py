@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.shared import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "secret")
 #: Bounds of a segment that the field may choose: tokens, and code points.
@@ -331,7 +333,7 @@ def found_column(field: Field, text: Column) -> Column:
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
         for column in columns:
-            rows = [one(t or "") for t in column.to_pylist()]
+            rows = [one(t or "") for part in slices(column) for t in part]
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)], names=names)
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.langid import held_out
+from skein.llm.shared import slices
 
 #: Bounds of what is learned: labelled documents of each class, bytes of a dictionary, bytes of a text that train one.
 SAMPLE = 3000
@@ -105,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def score_column(scorer: Scorer, text: Column) -> Column:
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([scorer.score(t or b"") for t in column.cast(pa.binary()).to_pylist()], pa.float64())
+            yield pa.array([scorer.score(t or b"") for part in slices(column.cast(pa.binary())) for t in part], pa.float64())
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "double")(text)

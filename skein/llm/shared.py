@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of bare keys (at most a few dozen bytes each) up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
+#: Bytes of text that a Python worker takes out of an Arrow batch at a time.
+SLICE_BYTES = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/skein-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/skein-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this process staged. To be called once results that read it are written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -56,3 +73,15 @@ def without_ids(docs: DataFrame, drop: DataFrame, doc_id: str = "doc_id") -> Dat
     key = free_name(docs, "drop_id")
     drop = drop.toDF(key)
     return docs.join(small_or_shuffled(drop), docs[doc_id] == drop[key], "left_anti")
+
+
+def slices(column: pa.Array) -> Iterator[list]:
+    """The values of a column of texts, as Python objects, in lists of about SLICE_BYTES (one value at least)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(column):
+        begin = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, "right")))
+        yield column.slice(at, end - at).to_pylist()
+        at = end
+    pa.default_memory_pool().release_unused()

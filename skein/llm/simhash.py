@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skein.llm.shared import small_or_shuffled, stage, without_ids
+from skein.llm.shared import slices, small_or_shuffled, stage, without_ids
 
 SEED = 42
 MAX_BITS = 3
@@ -67,7 +67,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 def fingerprint_column(text: Column, words: int = 3) -> Column:
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            values = [fingerprint(t or b"", words) for t in column.cast(pa.binary()).to_pylist()]
+            values = [fingerprint(t or b"", words) for part in slices(column.cast(pa.binary())) for t in part]
             yield pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -137,3 +137,27 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(200)] + [(900, 901)], "u long, v long")
     found = {r.node: r.root for r in simhash.components(links).collect()}
     assert found == {**{k: 0 for k in range(1, 201)}, 901: 900}
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from skein.llm import shared
+
+    table = shared.stage(spark.range(3).toDF("x"), "test")
+    path = shared._made[-1]
+    assert table.count() == 3
+    shared.clear_staged(spark)
+    assert shared._made == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_slices():
+    import pyarrow as pa
+
+    from skein.llm import shared
+
+    values = ["a" * 3_000_000, None, "b" * 5_000_000, "", "c", "d" * 2_000_000, "e" * 3_000_000]
+    parts = list(shared.slices(pa.array(values)))
+    assert [v for p in parts for v in p] == values
+    assert [len(p) for p in parts] == [2, 1, 3, 1]
+    assert list(shared.slices(pa.array([], pa.string()))) == []
