@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.shared import slices
+from skein.llm.shared import slices, small_or_shuffled, stage
 
 UNKNOWN = "und"
 #: Bounds of what is learned: documents per language, and n-grams per profile (also per document).
 SAMPLE = 300
 RANKS = 400
+SPARE = 20
 #: Code points of a text that are counted at a time.
 CHUNK = 1 << 20
 PREDICTION = "struct<lang:string,score:double>"
@@ -100,10 +101,14 @@ class Profiles:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
     """Profiles from at most ``sample`` documents per language, the first by a hash of their ids."""
+    unit = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang").distinct()
-    chosen = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).drop("n")
+    usable = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang", unit.alias("u"))
+    sizes = stage(usable.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    # the first by hash lie below a bound that some SPARE times as many rows do, so the last step sees no more of any language
+    low = usable.join(small_or_shuffled(sizes), F.col("lang") == F.col("of")).filter(F.col("u") < F.lit(float(SPARE * sample)) / F.col("size"))
+    first = Window.partitionBy("lang").orderBy("u", "id")
+    chosen = low.dropDuplicates(["id", "lang"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id", "lang")
     taught = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang"]).select("lang", "text")
     by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for row in taught.collect():
