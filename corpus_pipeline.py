@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontam, exact_dedup, langid, simhash
-from skein.llm.shared import stage, table
+from skein.llm.shared import bounded_batches, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    bounded_batches(docs)
     return docs.select("doc_id", "lang", "source", bpe.tokens(F.col("text")).alias("t")).select(
         "doc_id", "lang", "source", F.size("t.ids").cast("long").alias("n_tokens"), "t.ids", "t.ids_sha256", "t.decoded_sha256"
     )

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import slices
+from skein.llm.shared import bounded_batches, slices
 
 #: Words with more parts than this keep their ranks in a heap.
 SHORT = 64
@@ -267,5 +267,6 @@ def tokens(text: Column, path: str | None = None) -> Column:
 
 def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    bounded_batches(docs)
     found = docs.select(F.col(doc_id).alias("doc_id"), digests(F.col(text), path).alias("e"))
     return found.select("doc_id", "e.n_tokens", "e.ids_sha256", "e.decoded_sha256")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import slices
+from skein.llm.shared import bounded_batches, slices
 
 SEED = 4
 RARE = 1e-3
@@ -196,6 +196,7 @@ def matches_column(items: Items, text: Column) -> Column:
 
 
 def _seeded(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str, block_words: int) -> Iterator[tuple[list, Items]]:
+    bounded_batches(docs)
     for ids, items in _blocks(benchmark, item_text, item_id, block_words):
         items.choose_seeds(*_count_words(docs, text, items))
         yield ids, items

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.shared import slices, small_or_shuffled, stage
+from skein.llm.shared import bounded_batches, slices, small_or_shuffled, stage
 
 UNKNOWN = "und"
 #: Bounds of what is learned: documents per language, and n-grams per profile (also per document).
 SAMPLE = 300
 RANKS = 400
+#: Times as many ids as are sampled are looked at in the last step.
 SPARE = 20
 #: Code points of a text that are counted at a time.
 CHUNK = 1 << 20
@@ -101,6 +102,7 @@ class Profiles:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, ranks: int = RANKS) -> Profiles:
     """Profiles from at most ``sample`` documents per language, the first by a hash of their ids."""
+    bounded_batches(docs)
     unit = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     usable = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang", unit.alias("u"))

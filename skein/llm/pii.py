@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import slices
+from skein.llm.shared import bounded_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "secret")
@@ -342,4 +342,5 @@ def found_column(field: Field, text: Column) -> Column:
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    bounded_batches(docs)
     return docs.select(F.col(doc_id).alias("doc_id"), found_column(train(), F.col(text)).alias("f")).select("doc_id", "f.*")

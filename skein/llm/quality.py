@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.langid import held_out
-from skein.llm.shared import slices
+from skein.llm.shared import bounded_batches, slices
 
 #: Bounds of what is learned: labelled documents of each class, bytes of a dictionary, bytes of a text that train one.
 SAMPLE = 3000
@@ -114,6 +114,7 @@ def score_column(scorer: Scorer, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Learns from the labels not held out."""
+    bounded_batches(docs)
     scorer = learn(docs, labels.filter(~held_out(F.col(doc_id), 3, 1)), text, doc_id, label)
     scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), 3, 1).alias("held_out"), score_column(scorer, F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of bare keys (at most a few dozen bytes each) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 23
 #: Bytes of text that a Python worker takes out of an Arrow batch at a time.
 SLICE_BYTES = 1 << 22
 
@@ -75,6 +77,14 @@ def without_ids(docs: DataFrame, drop: DataFrame, doc_id: str = "doc_id") -> Dat
     return docs.join(small_or_shuffled(drop), docs[doc_id] == drop[key], "left_anti")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Have Spark send Python at most BATCH_BYTES at a time in this session, where its setting is larger: batches are off
+    the heap in the JVM, several for each task, and by default hold up to 64 MB."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING, f"{1 << 30}b").rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def slices(column: pa.Array) -> Iterator[list]:
     """The values of a column of texts, as Python objects, in lists of about SLICE_BYTES (one value at least)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

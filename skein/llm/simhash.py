@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skein.llm.shared import slices, small_or_shuffled, stage, without_ids
+from skein.llm.shared import bounded_batches, slices, small_or_shuffled, stage, without_ids
 
 SEED = 42
 MAX_BITS = 3
@@ -235,6 +235,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id."""
+    bounded_batches(docs)
     rows = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words).alias("fp")), "fingerprints")
     reps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     trees = components(_links(reps, hot))

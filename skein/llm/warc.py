@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import new_path, small_or_shuffled, stage
+from skein.llm.shared import bounded_batches, new_path, small_or_shuffled, stage
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -169,6 +169,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The sorted runs of the captures in the archives at ``path``, as a staged table."""
     records = spark.read.option("lineSep", END + VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    bounded_batches(records)
     return stage(records.mapInArrow(_runs, f"{CAPTURE}, run string"), "capture-runs")
 
 
