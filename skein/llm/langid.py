@@ -106,8 +106,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     unit = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     usable = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang", unit.alias("u"))
-    sizes = stage(usable.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size")), "language-sizes")
-    # the first by hash lie below a bound that some SPARE times as many rows do, so the last step sees no more of any language
+    sizes = stage(usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("id").alias("size")), "language-sizes")
+    # the first by hash lie below a bound that some SPARE times as many ids do, so the last step sees no more of any language
     low = usable.join(small_or_shuffled(sizes), F.col("lang") == F.col("of")).filter(F.col("u") < F.lit(float(SPARE * sample)) / F.col("size"))
     first = Window.partitionBy("lang").orderBy("u", "id")
     chosen = low.dropDuplicates(["id", "lang"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id", "lang")
