@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, decontam, exact_dedup, langid, simhash
+from skein.llm import bpe, decontam, exact_dedup, langid, similar
 from skein.llm.shared import bounded_batches, stage, table
 
 
@@ -21,8 +21,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles the smallest doc_id stays."""
+    return similar.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding", encode),
 ]

@@ -7,7 +7,7 @@ import re
 import pytest
 import xxhash
 
-from skein.llm import exact_dedup, simhash
+from skein.llm import exact_dedup, similar, simhash
 
 SCHEMA = "doc_id long, text string, n long, kept string, rid int, drop_id int, digest string"
 
@@ -161,3 +161,67 @@ def test_slices():
     assert [v for p in parts for v in p] == values
     assert [len(p) for p in parts] == [2, 1, 3, 1]
     assert list(shared.slices(pa.array([], pa.string()))) == []
+
+
+def shingles_by_hand(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def similar_by_hand(rows):
+    """The pairs of rows of similarity 0.8 or more, and the smallest id of each row's group."""
+    sets, up = [shingles_by_hand(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return pairs, [least.get(root(i)) for i in range(len(rows))]
+
+
+def similar_rows():
+    """Texts of similarities around 0.8, chains of copies, a large group, short and empty texts."""
+    chance = random.Random(11)
+    word = lambda: "".join(chance.choice("abcdefgh") for _ in range(5))
+    rows = [(None, "x y"), (2, "X  y"), (3, None), (4, " "), (5, "one two three four"), (6, "one TWO three four"), (7, "one two three five")]
+    for d in range(100, 130):
+        words = [word() for _ in range(chance.randint(30, 200))]
+        rows.append((d, " ".join(words)))
+        for e in range(40 if d == 100 else 4):
+            copy = list(words)
+            for _ in range(max(1, round(len(words) * chance.choice((0.01, 0.02, 0.025, 0.03))))):
+                copy[chance.randrange(len(copy))] = word()
+            rows.append((d * 100 + e, " ".join(copy)))
+            words = copy if d % 2 else words
+    chance.shuffle(rows)
+    return rows
+
+
+def test_similar_groups(spark):
+    rows = similar_rows()
+    pairs, by_hand = similar_by_hand(rows)
+    found = [tuple(r) for r in similar.similar_groups(frame(spark, rows)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(found, key=order) == sorted(((d, c) for (d, _), c in zip(rows, by_hand, strict=True)), key=order)
+    far = [p for p in pairs if (fingerprint_by_hand(rows[p[0]][1] or "") ^ fingerprint_by_hand(rows[p[1]][1] or "")).bit_count() > 3]
+    assert len(far) > 100
+    assert similar.similar_groups(frame(spark, [])).collect() == similar.one_of_each(frame(spark, [])).collect() == []
+
+
+def test_the_pipeline_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    rows = similar_rows()
+    docs = frame(spark, rows)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    stays = [d for (d, _), c in zip(rows, similar_by_hand(rows)[1], strict=True) if d is None or d == c]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((d is None, d or 0) for d in stays)
