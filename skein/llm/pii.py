@@ -283,7 +283,7 @@ def _covered(base: list[Span]) -> list[tuple[int, int]]:
 def _windows(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Ranges of the text around what may be personal data and isn't covered by a base match."""
     places = [m.start() for m in _trigger(text)]
-    if "dot" in text or "DOT" in text:
+    if "dot" in text.lower():
         places = sorted([*places, *(m.start() for m in _dots(text))])
     k, low, high = 0, -1, -1
     for place in places:
@@ -291,10 +291,10 @@ def _windows(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, i
             k += 1
         if k < len(covered) and covered[k][0] <= place:
             continue
-        if place > high:
+        if low < 0 or place - WIDEST > high:
             if low >= 0:
                 yield low, high
-            low = max(place - WIDEST, high, 0)
+            low = max(place - WIDEST, 0)
         high = min(place + WIDEST, len(text))
     if low >= 0:
         yield low, high

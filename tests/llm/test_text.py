@@ -103,6 +103,21 @@ def test_field_finds_what_the_patterns_miss(field):
         assert pii.added_spans(field, text, pii.base_spans(text)) == []
 
 
+def test_field_sees_what_lies_between_two_triggers(field):
+    """An address that begins before the end of a digit's window and whose first trigger is after it."""
+    own = "bob[at]site[dot]org"
+    for at in range(60, 200):
+        text = "7 " + ("plain " * 40)[: at - 3] + " " + own + " end"
+        assert text.index(own) == at
+        assert [(k, text[s:e]) for k, s, e in pii.added_spans(field, text, pii.base_spans(text))] == [("email", own)]
+
+
+def test_field_ignores_the_case_of_dots(field):
+    text = "write to john at example Dot com now"
+    assert list(pii._windows(text, [])) == [(0, len(text))]
+    assert [text[s:e] for _, s, e in pii.added_spans(field, text, pii.base_spans(text))] == ["john at example Dot com"]
+
+
 def test_decoding_equals_enumeration(field):
     """The dynamic program finds the best of all segmentations."""
     text = "call (980) 555-2833 4111.1111.1111.1111"
