@@ -272,3 +272,19 @@ def test_quality_with_little_to_learn(spark):
         found = quality.score_documents(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
         assert len(found) == 2 and all(abs(r.score - score) < 1e-9 for r in found)
     assert quality.score_documents(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
+def test_long_texts_score_as_their_parts_do(spark):
+    """Bad and good texts of 400 KB, in which nothing is repeated for long."""
+    docs, labels = quality_tables(spark)
+    schema = "doc_id long, text string"
+    scorer = quality.learn(spark.createDataFrame(docs, schema), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for own, good in ((0, 0), (1, 1)):
+        words = " ".join(t for k, t in docs if k is not None and k < 400 and (k % 4 != 0) == own).split()
+        chance = random.Random(4)
+        short, long = (" ".join(chance.choice(words) for _ in range(n)).encode() for n in (300, 60_000))
+        assert len(long) > 400_000
+        assert (scorer.score(short) >= 0.5) == (scorer.score(long) >= 0.5) == bool(good)
+        assert abs(scorer.score(long) - scorer.score(short)) < 0.1
+        blocks = [long[k : k + quality.BLOCK] for k in range(0, len(long), quality.BLOCK)]
+        assert abs(sum(scorer.feature(b) * len(b) for b in blocks) / len(long) - scorer.feature(long)) < 1e-9
