@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skein.llm.langid import held_out
 from skein.llm.shared import bounded_batches, slices
 
-#: Bounds of what is learned: labelled documents of each class, bytes of a dictionary, bytes of a text that train one.
+#: Bounds of what is learned: labelled documents of each class, bytes of a dictionary, bytes of a training sample.
 SAMPLE = 3000
 DICTIONARY = 112_640
 TRAIN_BYTES = 1 << 16
@@ -36,6 +36,11 @@ LEVEL = 3
 BLOCK = 4096
 
 
+def parts(text: bytes) -> list[bytes]:
+    """The whole text in training samples of at most ``TRAIN_BYTES``."""
+    return [text[k : k + TRAIN_BYTES] for k in range(0, max(len(text), 1), TRAIN_BYTES)]
+
+
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; where there is too little to train on, the texts themselves."""
     try:
@@ -98,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     prior = (len(by[1]) + 1) / (len(taught) + 2)
     if len(by[0]) < 2 or len(by[1]) < 2:
         return Scorer(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
-    scorer = Scorer(*(dictionary([t[:TRAIN_BYTES] for t in by[y][::2]]) for y in (1, 0)))
+    scorer = Scorer(*(dictionary([part for t in by[y][::2] for part in parts(t)]) for y in (1, 0)))
     held = [(scorer.feature(t), y) for y in (0, 1) for t in by[y][1::2]]
     x, y = np.array([h[0] for h in held]), np.array([h[1] for h in held], float)
     scorer.scale = float(1 / (x.std() or 1))

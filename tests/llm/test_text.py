@@ -288,3 +288,18 @@ def test_long_texts_score_as_their_parts_do(spark):
         assert abs(scorer.score(long) - scorer.score(short)) < 0.1
         blocks = [long[k : k + quality.BLOCK] for k in range(0, len(long), quality.BLOCK)]
         assert abs(sum(scorer.feature(b) * len(b) for b in blocks) / len(long) - scorer.feature(long)) < 1e-9
+
+
+def test_dictionaries_learn_from_whole_texts(spark, monkeypatch):
+    chance, taught = random.Random(6), []
+    real = quality.dictionary
+    monkeypatch.setattr(quality, "dictionary", lambda texts: (taught.append(list(texts)), real(texts))[1])
+    word = lambda y: "".join(chance.choice("abcdef" if y else "uvwxyz") for _ in range(6))
+    docs = [(k, " ".join(word(k % 2) for _ in range(30_000 if k < 2 else 60))) for k in range(42)]
+    marks = spark.createDataFrame([(k, k % 2, 0) for k in range(42)], "doc_id long, quality int, toxic int")
+    quality.learn(spark.createDataFrame(docs, "doc_id long, text string"), marks)
+    for y, own in zip((1, 0), taught, strict=True):
+        texts = sorted((t.encode() for k, t in docs if k % 2 == y), key=lambda t: (len(t), t))
+        assert sum(map(len, own)) == sum(map(len, texts[::2])) and max(map(len, own)) <= quality.TRAIN_BYTES
+    assert b"".join(quality.parts(b"ab" * quality.TRAIN_BYTES + b"c")) == b"ab" * quality.TRAIN_BYTES + b"c"
+    assert quality.parts(b"") == [b""]
