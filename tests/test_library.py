@@ -446,3 +446,12 @@ def test_streams(spark, tmp_path):
     assert all(math.isclose(r.weight, sum(0.5**k for k in range(10))) and r.n == 10 for r in decayed.collect())
     windows = running.run_available(running.windowed_counts(stream, "s", "t", "10 seconds", "0 seconds"), "windows", f"{tmp_path}/c4", "update")
     assert windows.groupBy("s").sum("cnt").count() == 2
+
+
+def test_every_row_gets_its_prefix_sums(spark, tmp_path):
+    from skein.plans import registry
+
+    arrays = [(k, [float(k + j) for j in range(k % 7)]) for k in range(120)]
+    spark.createDataFrame(arrays, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.vec_id: r.cumsum for r in registry.QUERIES["array_cumsum_all"](spark, str(tmp_path)).collect()}
+    assert found == {k: [sum(a[: j + 1]) for j in range(len(a))] for k, a in arrays}
