@@ -9,8 +9,8 @@ then the whole Hamming distance decides.
 
 Only distinct fingerprints take part, so exact copies cost nothing here. Under each key a task returns a spanning forest
 and never all pairs. A key that more than ``hot`` distinct fingerprints share is split further, exactly: of its
-remaining 36 bits at most three differ, so one quarter of them is equal, and it becomes four longer keys for each value.
-Within a task large runs are divided the same way on the bits that vary. Links between fingerprints are merged by
+remaining 36 bits at most three differ, so one quarter of them is equal, and it becomes four longer keys; those that are
+still hot are split again, until at most 12 bits are open. Within a task large runs are divided the same way on the bits that vary. Links between fingerprints are merged by
 alternating star contraction, which stays distributed.
 
 Defined results: a null text is an empty one; a text without words has fingerprint zero and is linked as any other.
@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from skein.llm.shared import bounded_batches, slices, small_or_shuffled, stage, without_ids
 
@@ -37,8 +37,9 @@ MAX_BITS = 3
 #: Bytes in the ring, and the differences that a chain of one, two, ... of them may hold.
 RING = 8
 BUDGET = [MAX_BITS * n // RING for n in range(1, RING + 1)]
-#: Keys with more distinct fingerprints than this are split.
+#: Keys with more distinct fingerprints than this are split; they are found by one fingerprint in SOME.
 HOT = 20_000
+SOME = 16
 #: Runs up to this many fingerprints are compared directly.
 DIRECT = 256
 CHUNK = 1 << 16
@@ -74,36 +75,53 @@ def fingerprint_column(text: Column, words: int = 3) -> Column:
     return F.arrow_udf(batches, LongType())(text)
 
 
-def _ring_keys(fp: Column) -> Column:
-    """The 16 keys of a fingerprint: number of the key, the 16 bits of two equal bytes, and 12 of the next 24 bits."""
-    keys = []
-    for start in range(RING):
-        turned = fp if not start else F.shiftleft(fp, 8 * start).bitwiseOR(F.shiftrightunsigned(fp, 64 - 8 * start))
-        head = F.shiftleft(F.shiftrightunsigned(turned, 48), 12)
-        for half, down in enumerate((36, 24)):
-            tail = F.shiftrightunsigned(turned, down).bitwiseAND(F.lit(0xFFF).cast("long"))
-            keys.append(F.lit((2 * start + half) << 28).cast("long").bitwiseOR(head).bitwiseOR(tail))
-    return F.array(*keys)
-
-
-def _split_keys(fp: Column, key: Column) -> Column:
-    """Four longer keys: each adds a quarter of the 36 bits that the key leaves open."""
-    number = F.shiftrightunsigned(key, 28)
-    by = (F.shiftrightunsigned(number, 1) * 8).cast("int")
-    turned = F.call_function("shiftleft", fp, by).bitwiseOR(F.call_function("shiftrightunsigned", fp, F.lit(64) - by))
-    turned = F.when(by == 0, fp).otherwise(turned)
-    low = lambda bits: turned.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    first = F.shiftleft(F.shiftrightunsigned(turned, 36).bitwiseAND(F.lit(0xFFF).cast("long")), 24)
-    rest = F.when(number.bitwiseAND(F.lit(1).cast("long")) == 0, low(36)).otherwise(first.bitwiseOR(low(24)))
-    part = lambda n: F.shiftrightunsigned(rest, 27 - 9 * n).bitwiseAND(F.lit(0x1FF).cast("long")) + F.lit((n + 1) << 9)
-    return F.array(*(F.struct(key.alias("key"), part(n).alias("part")) for n in range(4)))
-
-
-def _chain_ok(differs: np.ndarray, start: int) -> np.ndarray:
+def _first_chains() -> list[tuple[int, int]]:
+    """(start of the chain, bits that are equal) of the 16 keys: the two bytes at a start, and a half of the 24 bits after them."""
+    bit = lambda start, n: 1 << (63 - (8 * start + n) % 64)
+    return [(s, sum(bit(s, n) for n in (*range(16), *range(low, low + 12)))) for s in range(RING) for low in (16, 28)]
+
+
+def _longer_chains(chains: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Four longer keys for each: of the bits left open at most three differ, so that one of four parts of them is equal."""
+    longer = []
+    for start, equal in chains:
+        left = [b for b in range(64) if not equal >> b & 1]
+        longer += [(start, equal | sum(1 << b for b in left[part::4])) for part in range(4)]
+    return longer
+
+
+#: The chains of each level of splitting; at the last one 12 bits or fewer are open, so that no key can be hot.
+LEVELS = [_first_chains()]
+for _ in range(4):
+    LEVELS.append(_longer_chains(LEVELS[-1]))
+CHAINS = [chain for level in LEVELS for chain in level]
+FIRST_OF = [sum(len(level) for level in LEVELS[:k]) for k in range(len(LEVELS))]
+STARTS = np.array([start for start, _ in CHAINS], np.int64)
+
+
+def _signed(value: int) -> Column:
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
+def _ring_keys(fp: Column, ring: Column) -> Column:
+    """The 16 keys of a fingerprint: number of the chain, which also tells the ring, and the fingerprint's bits in it."""
+    path = lambda k: (ring * len(CHAINS) + k).cast("int")
+    return F.array(*(F.struct(path(k).alias("path"), fp.bitwiseAND(_signed(equal)).alias("key")) for k, (_, equal) in enumerate(LEVELS[0])))
+
+
+def _split_keys(fp: Column, path: Column, level: int) -> Column:
+    """The four longer keys of a key of a level."""
+    number = path % len(CHAINS) - FIRST_OF[level]
+    ring = F.floor(path / len(CHAINS)) * len(CHAINS) + FIRST_OF[level + 1]
+    bits = F.array(*(_signed(equal) for _, equal in LEVELS[level + 1]))
+    return F.array(*(F.struct((ring + number * 4 + k).cast("int").alias("path"), fp.bitwiseAND(F.element_at(bits, (number * 4 + k + 1).cast("int"))).alias("key")) for k in range(4)))
+
+
+def _chain_ok(differs: np.ndarray, start: int | np.ndarray) -> np.ndarray:
     """Which of the xors keep to the budgets along the ring from byte ``start``."""
     ok, total = np.ones(differs.shape, bool), np.zeros(differs.shape, np.uint8)
     for n in range(RING):
-        shift = np.uint64(8 * ((RING - 1 - start - n) % RING))
+        shift = np.asarray(8 * ((RING - 1 - start - n) % RING), np.uint64)
         total += np.bitwise_count((differs >> shift) & np.uint64(0xFF))
         ok &= total <= BUDGET[n]
     return ok
@@ -150,59 +168,85 @@ def _join_run(fps: np.ndarray, at: np.ndarray, start: int, forest: _Forest) -> N
                 _join_run(fps, at[np.sort(run)], start, forest)
 
 
-def _links_of(keys: np.ndarray, parts: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(fingerprint, smaller fingerprint of its tree) for the rows of whole runs of equal (key, part)."""
-    cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
+def _links_of(paths: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Rows (ring, fingerprint, smaller fingerprint of its tree) for the rows of whole runs of equal (path, key)."""
+    cuts = np.flatnonzero((np.diff(paths) != 0) | (np.diff(keys) != 0)) + 1
     begins, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-    for k in np.flatnonzero(ends - begins > 1):
+    rings, starts = paths // len(CHAINS), STARTS[paths % len(CHAINS)]
+    two = begins[ends - begins == 2]
+    differs = fps[two] ^ fps[two + 1]
+    two = two[(np.bitwise_count(differs) <= MAX_BITS) & _chain_ok(differs, starts[two])]
+    found = [np.stack([rings[two].astype(np.uint64), fps[two + 1], fps[two]], axis=1)]
+    for k in np.flatnonzero(ends - begins > 2):
         a, z = int(begins[k]), int(ends[k])
-        own, start = fps[a:z], int(keys[a]) >> 29
-        if z - a == 2:
-            differs = own[:1] ^ own[1:]
-            if np.bitwise_count(differs)[0] <= MAX_BITS and _chain_ok(differs, start)[0]:
-                yield own[1], own[0]
-            continue
-        forest = _Forest(z - a)
-        _join_run(own, np.arange(z - a), start, forest)
-        for i in range(z - a):
-            if (r := forest.root(i)) != i:
-                yield own[i], own[r]
+        own, forest = fps[a:z], _Forest(z - a)
+        _join_run(own, np.arange(z - a), int(starts[a]), forest)
+        pairs = [(i, r) for i in range(z - a) if (r := forest.root(i)) != i]
+        if pairs:
+            i, r = np.array(pairs).T
+            found.append(np.stack([np.full(len(pairs), rings[a], np.uint64), own[i], own[r]], axis=1))
+    return np.concatenate(found)
 
 
-LINK = StructType([StructField("u", LongType()), StructField("v", LongType())])
+LINK = "ring int, u bigint, v bigint"
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each run of equal (key, part); the input is sorted by (key, part, fp)."""
-    held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """The columns of sorted batches, cut so that no run of equal values of the first ``keys`` columns is divided."""
+    held: list[pa.RecordBatch] = []
+    key_at = lambda batch, k: [batch.column(i)[k].as_py() for i in range(keys)]
 
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        found = np.array(list(_links_of(rows[0], rows[1], rows[2].view(np.uint64))), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+    def columns() -> list[pa.Array]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return [c.chunk(0) for c in table.columns]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)] for i, h in enumerate(held)]
-        last = int(np.searchsorted(np.where((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]), 1, 0), 1))
-        held = [r[last:] for r in rows]
-        if last:
-            yield links([r[:last] for r in rows])
-    if len(held[0]):
-        yield links(held)
-
-
-def _links(reps: DataFrame, hot: int) -> DataFrame:
-    """Distinct links (u, v) whose transitive closure is that of all links within MAX_BITS."""
-    keyed = reps.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("key"))
-    full = stage(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot-keys")
-    if full.isEmpty():
-        dealt = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp")
-    else:
+        same = np.ones(batch.num_rows, bool)
+        for i in range(keys):
+            own = batch.column(i).to_numpy(zero_copy_only=False)
+            same &= own == own[-1]
+        last = batch.num_rows - int(same.sum())
+        goes_on = bool(held) and key_at(held[-1], held[-1].num_rows - 1) == key_at(batch, 0)
+        if last or not goes_on:
+            if last:
+                held.append(batch.slice(0, last))
+            if held:
+                yield columns()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield columns()
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each run of equal (path, key); the input is sorted by (path, key, fp)."""
+    for rows in whole_runs(batches, 2):
+        paths, keys, fps = (c.to_numpy(zero_copy_only=False) for c in rows)
+        found = _links_of(paths.astype(np.int64), keys, fps.view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1]), pa.array(found[:, 2])], names=["ring", "u", "v"])
+
+
+def ring_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct links (ring, u, v) of distinct fingerprints (ring, fp), whose transitive closure is that of all links within MAX_BITS in a ring.
+
+    Keys with more than about ``hot`` fingerprints are split, again and again. They are found by counting the keys of one
+    fingerprint in ``SOME``: a key that is split without need costs a little and loses nothing.
+    """
+    dealt = None
+    keyed = prints.select("fp", F.explode(_ring_keys(F.col("fp"), F.col("ring"))).alias("k")).select("k.path", "k.key", "fp")
+    for level in range(len(LEVELS) - 1):
+        some = keyed.filter(F.pmod(F.xxhash64("fp"), F.lit(SOME)) == 0)
+        full = stage(some.groupBy("path", "key").count().filter(F.col("count") > hot // (2 * SOME)).select("path", "key"), "hot-keys")
+        if full.isEmpty():
+            break
         full = small_or_shuffled(full)
-        split = keyed.join(full, "key", "left_semi").select(F.explode(_split_keys(F.col("fp"), F.col("key"))).alias("x"), "fp")
-        dealt = keyed.join(full, "key", "left_anti").select("key", F.lit(0).cast("long").alias("part"), "fp").unionByName(split.select("x.key", "x.part", "fp"))
-    runs = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+        rest = keyed.join(full, ["path", "key"], "left_anti")
+        dealt = rest if dealt is None else dealt.unionByName(rest)
+        keyed = keyed.join(full, ["path", "key"], "left_semi").select("fp", F.explode(_split_keys(F.col("fp"), F.col("path"), level)).alias("k")).select("k.path", "k.key", "fp")
+    dealt = keyed if dealt is None else dealt.unionByName(keyed)
+    runs = dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp")
     return runs.mapInArrow(_bucket_links, LINK).distinct()
 
 
@@ -238,7 +282,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     bounded_batches(docs)
     rows = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words).alias("fp")), "fingerprints")
     reps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    trees = components(_links(reps, hot))
+    trees = components(ring_links(reps.select(F.lit(0).alias("ring"), "fp"), hot).select("u", "v"))
     linked = reps.join(trees.toDF("fp", "root"), "fp").unionByName(reps.join(trees.select(F.col("root").alias("fp")).distinct(), "fp").withColumn("root", F.col("fp")))
     linked = stage(linked, "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

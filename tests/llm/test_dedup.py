@@ -120,7 +120,7 @@ def test_dense_runs_are_joined_without_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "DIRECT", 16)
     base = 0x0123456789ABC000
     own = np.array(sorted(base | k for k in range(1 << 10)), np.uint64)
-    links = list(simhash._links_of(np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own))
+    links = simhash._links_of(np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own)
     assert len(links) == len(own) - 1
 
 
@@ -168,23 +168,32 @@ def shingles_by_hand(text):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
 
 
-def similar_by_hand(rows):
-    """The pairs of rows of similarity 0.8 or more, and the smallest id of each row's group."""
-    sets, up = [shingles_by_hand(t) for _, t in rows], list(range(len(rows)))
+def grouped(n, pairs):
+    """The number of each item's group."""
+    up = list(range(n))
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     for i, j in pairs:
         up[root(i)] = root(j)
-    least = {}
+    return [root(i) for i in range(n)]
+
+
+def similar_by_hand(rows):
+    """The pairs of rows of similarity 0.8 or more, those of them that a ring makes candidates, and the smallest id of each row's group."""
+    n, sets = len(rows), [shingles_by_hand(t) for _, t in rows]
+    pairs = [(i, j) for i in range(n) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    rings = [similar.ring_fingerprints((t or "").encode().lower().split()).tolist() for _, t in rows]
+    same = [grouped(n, [(i, j) for i in range(n) for j in range(i) if (rings[i][k] ^ rings[j][k]).bit_count() <= 3]) for k in range(similar.RINGS)]
+    links = [(i, j) for i, j in pairs if sets[i] == sets[j] or any(g[i] == g[j] for g in same)]
+    group, least = grouped(n, links), {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return pairs, [least.get(root(i)) for i in range(len(rows))]
+            least[group[i]] = min(d, least.get(group[i], d))
+    return pairs, links, [least.get(g) for g in group]
 
 
 def similar_rows():
@@ -205,17 +214,64 @@ def similar_rows():
     return rows
 
 
-def test_similar_groups(spark):
+@pytest.mark.parametrize(("hot", "chunk"), [(simhash.HOT, similar.CHUNK), (1, 6)])
+def test_similar_groups(spark, hot, chunk, monkeypatch):
+    monkeypatch.setattr(similar, "SHARED", 2)
     rows = similar_rows()
-    pairs, by_hand = similar_by_hand(rows)
-    found = [tuple(r) for r in similar.similar_groups(frame(spark, rows)).collect()]
+    pairs, links, by_hand = similar_by_hand(rows)
+    found = [tuple(r) for r in similar.similar_groups(frame(spark, rows), hot=hot, chunk=chunk).collect()]
     order = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(found, key=order) == sorted(((d, c) for (d, _), c in zip(rows, by_hand, strict=True)), key=order)
     far = [p for p in pairs if (fingerprint_by_hand(rows[p[0]][1] or "") ^ fingerprint_by_hand(rows[p[1]][1] or "")).bit_count() > 3]
     assert len(far) > 100
+    assert len(links) > 0.95 * len(pairs)
     assert similar.similar_groups(frame(spark, [])).collect() == similar.one_of_each(frame(spark, [])).collect() == []
 
 
+def test_the_parity_check_loses_no_pair():
+    import numpy as np
+
+    chance = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(chance.integers(1, 3000))
+        whole = chance.integers(0, 1 << 64, n + n // 4, np.uint64)
+        own, other = np.unique(whole[: n - n // 9 + 1]), np.unique(np.r_[whole[: n - n // 9], whole[n : n + n // 12]])
+        both = len(np.intersect1d(own, other))
+        ok = similar.may_link(*(np.frombuffer(similar.parities(own), np.uint64)[None], np.array([len(own)])), np.frombuffer(similar.parities(other), np.uint64), len(other))
+        assert ok[0] or 5 * both < 4 * (len(own) + len(other) - both)
+
+
+def test_pairs_of_groups():
+    import numpy as np
+
+    chance = np.random.default_rng(6)
+    base = chance.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.unique(np.r_[base[int(chance.integers(0, 80)) :], chance.integers(0, 1 << 64, int(chance.integers(1, 30)), np.uint64)]) for _ in range(60)]
+    n, parity = np.array([len(s) for s in sets]), np.stack([np.frombuffer(similar.parities(s), np.uint64) for s in sets])
+    passing = [(i, j) for i in range(60) for j in range(60) if i != j and similar.may_link(parity[[i]], n[[i]], parity[j], n[j])[0]]
+    spanning = similar.spanning_pairs(n, parity)
+    assert set(spanning) <= set(passing)
+    names = lambda g: [min(i for i in range(60) if g[i] == x) for x in g]
+    assert names(grouped(60, spanning)) == names(grouped(60, passing))
+    tree = chance.integers(0, 4, 60)
+    cross = similar.cross_pairs(n, parity, tree)
+    assert sorted(map(frozenset, cross), key=sorted) == sorted({frozenset(p) for p in passing if tree[p[0]] != tree[p[1]]}, key=sorted)
+
+
+def test_runs_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    keys, parts = np.repeat(np.arange(6), [1, 9, 2, 7, 1, 3]), np.zeros(23, int)
+    parts[5:10] = 1
+    for size in (1, 2, 3, 5, 50):
+        batches = [pa.record_batch([pa.array(keys[k : k + size]), pa.array(parts[k : k + size]), pa.array(np.arange(k, min(k + size, 23)))], names=list("abc")) for k in range(0, 23, size)]
+        out = [[c.to_pylist() for c in run] for run in simhash.whole_runs(iter([*batches, batches[0].slice(0, 0)]), 2)]
+        assert [x for run in out for x in run[2]] == list(range(23))
+        seen = [set(zip(run[0], run[1], strict=True)) for run in out]
+        assert sum(len(s) for s in seen) == len(set().union(*seen)) == 7
+
+
 def test_the_pipeline_drops_similar_texts(spark):
     import corpus_pipeline
 
@@ -223,5 +279,5 @@ def test_the_pipeline_drops_similar_texts(spark):
     docs = frame(spark, rows)
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert out.columns == docs.columns
-    stays = [d for (d, _), c in zip(rows, similar_by_hand(rows)[1], strict=True) if d is None or d == c]
+    stays = [d for (d, _), c in zip(rows, similar_by_hand(rows)[2], strict=True) if d is None or d == c]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((d is None, d or 0) for d in stays)
