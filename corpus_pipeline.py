@@ -21,7 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles the smallest doc_id stays."""
+    """Of each group of SimHash candidates linked by a Jaccard similarity of 0.8 on five-word shingles the smallest doc_id stays."""
     return similar.one_of_each(docs)
 
 
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
-    ("near dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding", encode),
 ]
