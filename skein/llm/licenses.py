@@ -2,7 +2,8 @@
 
 A text is made canonical before it is digested: lower case, copyright lines and lines of rights reserved taken out,
 punctuation and white space folded to one space, equivalent spellings made one. So the digest is the same however a
-licence is wrapped, indented or quoted. A document whose entire text is a known licence gets its id. The lines of a
+licence is wrapped, indented or quoted. A document whose entire text is a known licence gets its id: short licences are
+known by their texts, with the usual headings or none, and long ones by the digests of their published texts. The lines of a
 document are texts of their own: those that are a known notice ("Released under the MIT License.") give the notice ids.
 
 Digests of licences and notices come from the same expression over the known texts. Only lines as long as a known
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from skein.llm.shared import small_or_shuffled
 
 #: Lines that aren't part of a licence's words. Patterns, of lower-case text.
-COPYRIGHT = r"^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 #: Equivalent spellings, after punctuation is gone. Fixed values.
 SPELLINGS = (
@@ -41,16 +42,12 @@ _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTO
 
 #: Texts of licences. Fixed values.
 LICENSES = {
-    "MIT": f"""MIT License
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+    "MIT": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 
 {_WARRANTY} OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": f"""ISC License
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+    "ISC": f"""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 {_ISC_WARRANTY}""",
     "0BSD": f"""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
@@ -65,7 +62,59 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": f"""This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+{_WARRANTY} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+#: Headings that these texts come with, besides none. Fixed values.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
 }
+#: Digests of the canonical forms of published texts: the whole, and up to the end of the terms where more follows. Fixed values.
+DIGESTS = {
+    "Apache-2.0": ("e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0",),
+    "Artistic-1.0-Perl": ("bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e",),
+    "GFDL-1.3": ("525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff",),
+    "GPL-1.0": ("37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9",),
+    "GPL-2.0": ("ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0",),
+    "GPL-3.0": ("42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545",),
+    "LGPL-2.0": ("bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389",),
+    "LGPL-2.1": ("ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97",),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
+}
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the short licences, bare and with each heading."""
+    return [(i, head + text) for i, text in LICENSES.items() for head in ("", *(h + "\n\n" for h in HEADINGS[i]))]
+
+
+def pinned() -> list[tuple[str, str]]:
+    """(license_id, digest) of the long ones."""
+    return [(i, digest) for i, digests in DIGESTS.items() for digest in digests]
+
 
 #: Names that notices give licences. Fixed values.
 NAMES = {
@@ -112,14 +161,20 @@ def known_table(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     return rows.groupBy(F.sha2("one", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.first(F.length("one")).alias("length"))
 
 
+def default_table(spark: SparkSession) -> DataFrame:
+    """(digest, license_id) of the licences, long and short, and the notices."""
+    made = known_table(spark, [*license_texts(), *notice_texts()]).select("digest", "license_id")
+    return made.unionByName(spark.createDataFrame([(d, i) for i, d in pinned()], "digest string, license_id string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", licenses: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, text_digest, license_id (of the entire text, or null), notice_ids (joined by commas).
 
-    ``licenses``: a table like that of ``known_table``, of any size; by default the texts of LICENSES and the notices.
+    ``licenses``: a table like that of ``known_table``, of any size; by default that of ``default_table``.
     """
     spark = docs.sparkSession
     notices = known_table(spark, notice_texts()).collect()  # one for each name and form above
-    licenses = known_table(spark, [*LICENSES.items(), *notice_texts()]) if licenses is None else licenses
+    licenses = default_table(spark) if licenses is None else licenses
     ids = F.create_map(*(F.lit(x) for n in notices for x in (n.digest, n.license_id)))
     lengths = sorted({n.length for n in notices})
     rows = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("lines"))
