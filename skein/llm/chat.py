@@ -6,8 +6,11 @@ role ``tool`` that is a JSON object with ``tool_call_id`` and content is a resul
 
 Results and calls of a conversation are hash-joined by identifier. The links order rows topologically: a row comes after
 its own turn's place and after every row that it follows, so (order_turn, order_level, turn) sorts a conversation, and
-rows already in order keep their turns. Arguments are checked against the tool's schema, by property: type, enum, and
-required properties. Rows are serialised as JSON without white space, keys in order, nested arguments too.
+rows already in order keep their turns. Chains of links are followed by doubling steps, so that a chain's length costs
+rounds by its logarithm only; rows that wait for several others cost a round for each of those in a line. Arguments are
+checked against the tool's schema, by property: type, enum, minimum, maximum, required properties and, where
+additionalProperties is false, unknown ones; ``schema_table`` refuses schemas with other keywords that would restrict.
+As in JSON schemas, 1.0 is an integer. Rows are serialised as JSON without white space, keys in order, nested arguments too.
 
 Plain messages pass by; only rows with calls or results are joined, by (conversation, identifier) and never by
 conversation alone, so a conversation with a third of all rows is no group here. The result has a row per row.
@@ -31,21 +34,38 @@ from skein.llm.shared import stage
 
 CALLS = "struct<content:string,tool_calls:array<struct<arguments:string,depends_on:array<string>,id:string,name:string>>>"
 RESULT = "struct<content:string,tool_call_id:string>"
-SCHEMA = "name string, property string, type string, required boolean, enum array<string>"
+SCHEMA = "name string, property string, types array<string>, required boolean, enum array<string>, minimum double, maximum double, closed boolean"
+#: Keywords of schemas that are checked, of the arguments and of a property; and those that restrict nothing. Fixed values.
+CHECKED = {"type", "properties", "required", "additionalProperties"}
+CHECKED_OF_PROPERTY = {"type", "enum", "minimum", "maximum"}
+NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
 #: What sorts before every turn.
 FIRST = -(1 << 63)
 
 
+def _one_form(value):
+    """Whole numbers as integers, as canonical JSON has them."""
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
 def schema_table(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
-    """A row for each property of the tools' JSON schemas, and one without a property for each tool."""
+    """A row for each property of the tools' JSON schemas, and one without a property for each tool.
+
+    Raises ValueError for a schema with keywords that aren't checked.
+    """
     rows = []
     for name, schema in tools.items():
-        required, properties = set(schema.get("required", ())), schema.get("properties", {})
-        rows.append((name, None, None, False, None))
+        required, properties, more = set(schema.get("required", ())), schema.get("properties", {}), schema.get("additionalProperties", True)
+        odd = {k for k in schema if k not in CHECKED | NOTES} | {k for own in properties.values() for k in own if k not in CHECKED_OF_PROPERTY | NOTES}
+        if odd or schema.get("type", "object") != "object" or not isinstance(more, bool):
+            raise ValueError(f"schema of {name}: can't check {', '.join(sorted(odd)) or 'its type or additionalProperties'}")
+        rows.append((name, None, None, False, None, None, None, not more))
         for key in sorted(required | properties.keys()):
             own = properties.get(key, {})
-            enum = [json.dumps(v, separators=(",", ":"), sort_keys=True, ensure_ascii=False) for v in own["enum"]] if "enum" in own else None
-            rows.append((name, key, own.get("type"), key in required, enum))
+            types = [own["type"]] if isinstance(own.get("type"), str) else own.get("type")
+            enum = [json.dumps(_one_form(v), separators=(",", ":"), sort_keys=True, ensure_ascii=False) for v in own["enum"]] if "enum" in own else None
+            limits = [None if own.get(k) is None else float(own[k]) for k in ("minimum", "maximum")]
+            rows.append((name, key, types, key in required, enum, *limits, False))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -90,44 +110,85 @@ def _kind(kind: Column) -> Column:
 def _argument_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """(rid, problem) for the calls (rid, call, name, arguments) whose arguments break their tool's schema."""
     named = F.concat(F.col("name"), F.lit("."), F.col("property"), F.lit(": "))
-    known = calls.join(schemas.select(F.col("name").alias("known")).distinct(), F.col("name") == F.col("known"), "left")
+    tools = schemas.filter("property IS NULL").select(F.col("name").alias("known"), "closed")
+    known = calls.join(tools, F.col("name") == F.col("known"), "left")
     unknown = known.filter("known IS NULL").select("rid", F.concat(F.lit("unknown tool "), F.coalesce("name", F.lit("null"))).alias("problem"))
-    parsed = known.filter("known IS NOT NULL").select("rid", "call", "name", F.try_parse_json("arguments").alias("v"))
+    parsed = known.filter("known IS NOT NULL").select("rid", "call", "name", "closed", F.try_parse_json("arguments").alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     shapeless = parsed.filter(~is_object).select("rid", F.concat("name", F.lit(": arguments are no object")).alias("problem"))
     objects = parsed.filter(is_object)
     tvf = calls.sparkSession.tvf.variant_explode(F.col("v").outer())
-    given = objects.lateralJoin(tvf).select("rid", "call", F.col("key").alias("property"), _kind(F.schema_of_variant("value")).alias("kind"), F.to_json("value").alias("value"))
-    wanted = objects.select("rid", "call", "name").join(schemas.filter("property IS NOT NULL"), "name")
-    pairs = wanted.join(given, ["rid", "call", "property"], "left")
-    fits = F.col("type").isNull() | (F.col("type") == F.col("kind")) | ((F.col("type") == "number") & (F.col("kind") == "integer"))
+    given = objects.lateralJoin(tvf).select(
+        "rid", "call", "name", "closed", F.col("key").alias("property"), _kind(F.schema_of_variant("value")).alias("kind"), F.to_json("value").alias("value")
+    )
+    properties = schemas.filter("property IS NOT NULL").drop("closed")
+    wanted = objects.select("rid", "call", "name").join(properties, "name")
+    pairs = wanted.join(given.drop("name", "closed"), ["rid", "call", "property"], "left")
+    is_number = F.col("kind").isin("integer", "number")
+    number = F.when(is_number, F.col("value").try_cast("double"))
+    kind = F.when(is_number & (number == F.floor(number)), "integer").otherwise(F.col("kind"))
+    fits = F.col("types").isNull() | F.array_contains("types", kind) | (F.array_contains("types", F.lit("number")) & (kind == "integer"))
     problem = (
         F.when(F.col("kind").isNull(), F.when(F.col("required"), F.concat(named, F.lit("missing"))))
-        .when(~fits, F.concat(named, F.col("kind"), F.lit(" instead of "), F.col("type")))
+        .when(~fits, F.concat(named, kind, F.lit(" instead of "), F.array_join("types", " or ")))
         .when(F.col("enum").isNotNull() & ~F.array_contains("enum", F.col("value")), F.concat(named, F.lit("not allowed")))
+        .when(number < F.col("minimum"), F.concat(named, F.lit("too small")))
+        .when(number > F.col("maximum"), F.concat(named, F.lit("too large")))
     )
     broken = pairs.select("rid", problem.alias("problem")).filter("problem IS NOT NULL")
-    return unknown.unionByName(shapeless).unionByName(broken)
+    extra = given.filter("closed AND property IS NOT NULL").join(properties.select("name", "property"), ["name", "property"], "left_anti").select("rid", F.concat(named, F.lit("unknown")).alias("problem"))
+    return unknown.unionByName(shapeless).unionByName(broken).unionByName(extra)
+
+
+def _chain_steps(single: DataFrame) -> DataFrame:
+    """Rows that follow one other, with the row that their chain begins after: (rid, ptr, m, c, n).
+
+    ``single``: rid, the row that it follows (ptr), and its turn (t). What comes after a place (t, level) gets (m, c) if
+    m > t, else (t, level + n). Each round doubles the length of the chains. Rows in a circle, or after one, are left out.
+    """
+    jumps = stage(single.select("rid", "ptr", F.col("t").alias("m"), F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("n")), "jumps")
+    ids = jumps.select(F.col("rid").alias("ptr"))
+    found, left = jumps.join(ids, "ptr", "left_anti").withColumn("open", F.lit(False)), jumps.join(ids, "ptr", "left_semi").withColumn("open", F.lit(True))
+    found, left = stage(found.select("rid", "ptr", "m", "c", "n", "open"), "chains"), stage(left.select("rid", "ptr", "m", "c", "n", "open"), "chains")
+    while not left.isEmpty():
+        steps = found.unionByName(left).toDF("ptr", "to", "m0", "c0", "n0", "goes_on")
+        later = F.col("m") > F.col("m0")
+        moved = left.join(steps, "ptr").select(
+            "rid", F.col("to").alias("ptr"), F.greatest("m", "m0").alias("m"), F.when(later, F.col("c")).otherwise(F.col("c0") + F.col("n")).alias("c"), (F.col("n0") + F.col("n")).alias("n"), F.col("goes_on").alias("open")
+        )
+        moved = stage(moved, "chains")
+        ends = moved.filter("NOT open")
+        if ends.isEmpty():  # no chain is this long, so what is left goes in circles
+            break
+        found, left = found.unionByName(ends), moved.filter("open")
+    return found.drop("open")
 
 
 def _places(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rid, order_turn, order_level, circular): each row after its predecessors, by rounds over the longest chain of links."""
+    """(rid, order_turn, order_level, circular): each row after its predecessors."""
     nodes = rows.select("rid", F.coalesce("turn", F.lit(FIRST)).alias("t"))
-    degree = stage(edges.groupBy(F.col("to").alias("rid")).agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    degree = stage(edges.groupBy(F.col("to").alias("rid")).agg(F.count(F.lit(1)).alias("degree"), F.min("from").alias("ptr")), "degrees")
+    follows = _chain_steps(degree.filter("degree = 1").select("rid", "ptr").join(nodes, "rid"))
     place = F.struct("t", F.lit(0).cast("long").alias("level"))
-    done = stage(nodes.join(degree, "rid", "left_anti").select("rid", place.alias("place")), "placed")
-    waiting = nodes.join(degree, "rid").select("rid", "t", "degree")
-    while True:
-        left = waiting.join(done, "rid", "left_anti")
-        before = edges.join(done.withColumnRenamed("rid", "from"), "from").groupBy(F.col("to").alias("rid")).agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-        ready = left.join(before, "rid").filter("n = degree").select(
-            "rid", F.when(F.col("t") > F.col("last.t"), place).otherwise(F.struct(F.col("last.t").alias("t"), (F.col("last.level") + 1).alias("level"))).alias("place")
-        )
-        ready = stage(ready, "placed")
-        if ready.isEmpty():
-            break
-        done = stage(done.unionByName(ready), "placed")
-    circular = left.select("rid", place.alias("place"), F.lit(True).alias("circular"))
+    after = F.when(F.col("m") > F.col("place.t"), F.struct(F.col("m").alias("t"), F.col("c").alias("level"))).otherwise(F.struct(F.col("place.t").alias("t"), (F.col("place.level") + F.col("n")).alias("level")))
+    # rows that follow none, then those that follow several, as soon as the last of these has its place
+    front = stage(nodes.join(degree, "rid", "left_anti").select("rid", place.alias("place")), "placed")
+    heads, several = front, degree.filter("degree > 1").select("rid", "degree")
+    links = edges.join(several.select(F.col("rid").alias("to")), "to", "left_semi").join(follows.withColumnRenamed("rid", "from"), "from", "left")
+    links = stage(links.select("to", F.coalesce("ptr", "from").alias("ptr"), "m", "c", "n"), "waits")
+    arrived = None
+    while not links.isEmpty() and not front.isEmpty():
+        own = F.when(F.col("m").isNull(), F.col("place")).otherwise(after)
+        got = links.join(front.withColumnRenamed("rid", "ptr"), "ptr").select(F.col("to").alias("rid"), own.alias("last"), F.lit(1).cast("long").alias("had"))
+        got = got if arrived is None else got.unionByName(arrived)
+        arrived = stage(got.groupBy("rid").agg(F.max("last").alias("last"), F.sum("had").alias("had")), "arrived")
+        own = F.when(F.col("t") > F.col("last.t"), place).otherwise(F.struct(F.col("last.t").alias("t"), (F.col("last.level") + 1).alias("level")))
+        front = stage(arrived.join(several, "rid").filter("had = degree").join(nodes, "rid").select("rid", own.alias("place")), "placed")
+        arrived = arrived.join(front, "rid", "left_anti")
+        heads = heads.unionByName(front)
+    done = heads.unionByName(follows.join(heads.withColumnRenamed("rid", "ptr"), "ptr").select("rid", after.alias("place")))
+    done = stage(done, "placed")
+    circular = nodes.join(done, "rid", "left_anti").select("rid", place.alias("place"), F.lit(True).alias("circular"))
     both = done.withColumn("circular", F.lit(False)).unionByName(circular)
     return both.select("rid", F.expr(f"nullif(place.t, {FIRST})").alias("order_turn"), F.col("place.level").alias("order_level"), "circular")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, chat, decontam, exact_dedup, langid, licenses, pii, quality, simhash, warc
 from skein.llm.shared import table
@@ -36,8 +37,29 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+#: The schema of the tool that the turns call. Fixed values.
+REPLY = {"properties": {"text": {"type": "string"}, "chars": {"type": "integer", "minimum": 1, "maximum": 1500}, "tone": {"type": ["string", "null"], "enum": ["calm", "brisk", None]}}, "required": ["chars", "text"], "additionalProperties": False}
+
+
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """The conversations as calls and results, as the table has none: each of an assistant's turns calls a tool with its
+    text, and a user's turn is the result of a call at the turn before. By the text's length some calls need the result
+    of the call two turns earlier or later, some lack an argument, have a wrong one or call an unknown tool; turns from
+    the sixth on repeat an identifier, and results without a call come where a conversation begins otherwise."""
+    size = F.length("text")
+    named = lambda n: F.concat(F.lit("call_"), n.cast("string"))
+    needs = F.when((F.col("turn") >= 3) & (size % 2 == 0), F.array(named(F.col("turn") - 2))).when((F.col("turn") < 3) & (size % 5 == 0), F.array(named(F.col("turn") + 2)))
+    tone = F.when(size % 3 == 0, "calm").when(size % 3 == 1, "brisk").otherwise("loud")
+    arguments = F.to_json(F.struct(tone.alias("tone"), F.col("text"), F.when(size % 7 > 0, size).alias("chars"), F.when(size % 13 == 0, size).alias("more")))
+    call = F.struct(named(F.least("turn", F.lit(5))).alias("id"), F.when(size % 11 == 0, "lookup").otherwise("reply").alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
+    made = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    got = F.to_json(F.struct(named(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    calls, answers = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 0)
+    return conversations.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(calls, made).when(answers, got).otherwise(F.col("text")).alias("text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(tool_turns(table(spark, sf_dir, "conversations")), chat.schema_table(spark, {"reply": REPLY}))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +100,10 @@ def _license_sql() -> str:
         lines = f"replace({lines}, {text(own)}, {text(one)})"
     one = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'), ' ')"
     known = lambda rows: f"SELECT sha256({one}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {lines} AS lines FROM (VALUES {', '.join(f'({text(i)}, {text(t)})' for i, t in rows)}) AS v(license_id, text)) GROUP BY 1"
+    pinned = ", ".join(f"('{digest}', '{i}')" for i, digest in licenses.pinned())
     return f"""
         WITH notices AS ({known(licenses.notice_texts())}),
-             known AS ({known([*licenses.LICENSES.items(), *licenses.notice_texts()])}),
+             known AS (SELECT digest, min(license_id) AS license_id FROM ({known([*licenses.license_texts(), *licenses.notice_texts()])} UNION ALL VALUES {pinned}) GROUP BY 1),
              d AS (SELECT doc_id, {lines} AS lines FROM documents),
              l AS (SELECT DISTINCT doc_id, license_id FROM (SELECT doc_id, sha256(trim(unnest(string_split(lines, chr(10))), ' ')) AS digest FROM d) JOIN notices USING (digest)),
              n AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notice_ids FROM l GROUP BY doc_id)
@@ -103,8 +126,31 @@ ORACLE_SQL = {
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM q""",
     "op8_chat": """
-        SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, CAST(0 AS BIGINT) AS order_level, CAST(0 AS BIGINT) AS n_calls, CAST(NULL AS BIGINT) AS call_turn,
-               '' AS problems, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
-        FROM conversations""",
+        WITH RECURSIVE j AS (SELECT conv_id, turn, role, text, length(text) AS size, coalesce(CAST(to_json(text) AS VARCHAR), 'null') AS own FROM conversations),
+        calls AS (SELECT *, 'call_' || least(turn, 5) AS id, CASE WHEN size % 11 = 0 THEN 'lookup' ELSE 'reply' END AS name,
+                         CASE WHEN turn >= 3 AND size % 2 = 0 THEN 'call_' || (turn - 2) WHEN turn < 3 AND size % 5 = 0 THEN 'call_' || (turn + 2) END AS needs FROM j WHERE role = 'assistant'),
+        firsts AS (SELECT conv_id, id, min(turn) AS call_turn, arg_min(name, turn) AS name FROM calls GROUP BY ALL),
+        results AS (SELECT j.conv_id, j.turn, j.own, 'call_' || (j.turn - 1) AS id, call_turn, name FROM j LEFT JOIN firsts ON firsts.conv_id = j.conv_id AND firsts.id = 'call_' || (j.turn - 1) WHERE role = 'user' AND j.turn > 0),
+        follows AS (SELECT conv_id, turn, call_turn AS before FROM results UNION ALL
+                    SELECT calls.conv_id, calls.turn, results.turn FROM calls LEFT JOIN results ON results.conv_id = calls.conv_id AND results.id = calls.needs),
+        placed AS (SELECT conv_id, turn, turn AS t, CAST(0 AS BIGINT) AS level FROM follows WHERE before IS NULL UNION ALL
+                   SELECT f.conv_id, f.turn, greatest(f.turn, p.t), CASE WHEN f.turn > p.t THEN 0 ELSE p.level + 1 END FROM follows f JOIN placed p ON p.conv_id = f.conv_id AND p.turn = f.before),
+        told AS (
+            SELECT calls.conv_id, calls.turn, 'calls' AS kind, CAST(1 AS BIGINT) AS n_calls, CAST(NULL AS BIGINT) AS call_turn,
+                   [CASE WHEN firsts.call_turn < calls.turn THEN 'repeated id' END, CASE WHEN calls.name = 'lookup' THEN 'unknown tool lookup' END,
+                    CASE WHEN calls.name = 'reply' AND size % 7 = 0 THEN 'reply.chars: missing' WHEN calls.name = 'reply' AND size > 1500 THEN 'reply.chars: too large' WHEN calls.name = 'reply' AND size < 1 THEN 'reply.chars: too small' END,
+                    CASE WHEN calls.name = 'reply' AND size % 3 = 2 THEN 'reply.tone: not allowed' END, CASE WHEN calls.name = 'reply' AND size % 13 = 0 THEN 'reply.more: unknown' END] AS problems,
+                   '{"content":null,"role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN size % 7 > 0 THEN '"chars":' || size || ',' ELSE '' END || CASE WHEN size % 13 = 0 THEN '"more":' || size || ',' ELSE '' END
+                   || '"text":' || own || ',"tone":"' || CASE size % 3 WHEN 0 THEN 'calm' WHEN 1 THEN 'brisk' ELSE 'loud' END || '"},' || coalesce('"depends_on":["' || needs || '"],', '')
+                   || '"id":"' || calls.id || '","name":"' || calls.name || '"}]}' AS message
+            FROM calls JOIN firsts USING (conv_id, id)
+            UNION ALL
+            SELECT conv_id, turn, 'result', 0, call_turn, [CASE WHEN call_turn IS NULL THEN 'no call' END],
+                   '{"content":' || own || ',"name":' || coalesce('"' || name || '"', 'null') || ',"role":"tool","tool_call_id":"' || id || '"}' FROM results)
+        SELECT conv_id, turn, kind, coalesce(t, turn) AS order_turn, coalesce(level, 0) AS order_level, n_calls, call_turn,
+               array_to_string(list_sort(list_filter(list_append(problems, CASE WHEN t IS NULL THEN 'circular' END), lambda x: x IS NOT NULL)), '; ') AS problems, message
+        FROM told LEFT JOIN placed USING (conv_id, turn)
+        UNION ALL
+        SELECT conv_id, turn, 'message', turn, 0, 0, NULL, '', '{"content":' || own || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' FROM j WHERE NOT coalesce(role = 'assistant' OR role = 'user' AND turn > 0, false)""",
     "op10_licenses": _license_sql(),
 }

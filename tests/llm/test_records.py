@@ -135,6 +135,63 @@ def test_long_chains_are_ordered(spark):
     assert kinds == [(10, k) for k in range(20)] and not any(r.problems for r in found)
 
 
+def places_by_hand(turns, edges):
+    """(turn, level) of each row after all that it follows; none for rows in circles and after them."""
+    place = {}
+    while True:
+        ready = [x for x in range(len(turns)) if x not in place and all(f in place for f, t in edges if t == x)]
+        if not ready:
+            return place
+        for x in ready:
+            last = max((place[f] for f, t in edges if t == x), default=(-1, 0))
+            place[x] = (turns[x], 0) if turns[x] > last[0] else (last[0], last[1] + 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_places_of_random_links(spark, seed):
+    chance = random.Random(seed)
+    turns = [chance.randint(0, 30) for _ in range(120)]
+    edges = {(chance.randrange(x), x) for x in range(1, 110) for _ in range(chance.choice((0, 1, 1, 1, 2, 3)))}
+    edges |= {(110, 111), (111, 112), (112, 110), (112, 113), (113, 114), (5, 114), (114, 115)}
+    nodes = spark.createDataFrame(list(enumerate(turns)), "rid long, turn long")
+    found = chat._places(nodes, spark.createDataFrame(sorted(edges), "from long, to long")).collect()
+    by_hand = places_by_hand(turns, edges)
+    assert len(found) == 120 and {r.rid: (r.order_turn, r.order_level) for r in found if not r.circular} == by_hand
+    assert all((r.order_turn, r.order_level) == (turns[r.rid], 0) for r in found if r.circular)
+
+
+def test_schema_keywords(spark):
+    tools = {"t": {"properties": {"a": {"type": "integer", "minimum": 0, "maximum": 5}, "b": {"type": ["string", "null"]}, "c": {"enum": [1.0, [2]]}}, "additionalProperties": False, "description": "x"}}
+    rows = [{"a": 1.0, "b": None, "c": 1}, {"a": 1.5, "b": 3}, {"a": -1, "b": "", "c": [2]}, {"a": 6, "d": 1}, {"a": 5e0, "c": 2}]
+    frame = spark.createDataFrame([(1, k, "assistant", call({"id": str(k), "name": "t", "arguments": a})) for k, a in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    found = {r.turn: r.problems for r in chat.format_chat(frame, chat.schema_table(spark, tools)).collect()}
+    assert found == {0: "", 1: "t.a: number instead of integer; t.b: integer instead of string or null", 2: "t.a: too small", 3: "t.a: too large; t.d: unknown", 4: "t.c: not allowed"}
+    for odd in ({"properties": {"a": {"pattern": "x"}}}, {"anyOf": []}, {"type": "array"}, {"additionalProperties": {}}):
+        with pytest.raises(ValueError, match="can't check"):
+            chat.schema_table(spark, {"t": odd})
+
+
+def test_the_query_runs_the_method(spark):
+    """op8's result on small conversations, with links, orders, circles and problems, against its SQL."""
+    import duckdb
+
+    from skein.llm import queries
+
+    chance = random.Random(4)
+    rows = [(c, t, "assistant" if (t + c) % 2 else "user", "é\"x\n" * chance.randint(0, 9) + "y" * (chance.randint(1300, 1700) if t == 5 else chance.randint(0, 40))) for c in range(40) for t in range(8)]
+    rows += [(50, 0, "system", "s"), (50, 1, None, "n")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.format_chat(queries.tool_turns(turns), chat.schema_table(spark, {"reply": queries.REPLY})).collect()
+    con = duckdb.connect()
+    con.register("conversations", turns.toPandas())
+    expected = con.sql(f"SELECT {', '.join(found[0].asDict())} FROM ({queries.ORACLE_SQL['op8_chat']})").fetchall()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    every = "; ".join(r.problems for r in found)
+    for problem in ("circular", "no call", "repeated id", "unknown tool", "missing", "too large", "not allowed", ": unknown"):
+        assert problem in every
+    assert any(r.order_level > 0 for r in found)
+
+
 def test_chat_of_an_empty_table(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
@@ -159,6 +216,34 @@ def test_licenses(spark):
     assert [r.license_id for r in licenses.scan(docs.filter("doc_id = 8"), licenses=own).collect()] == ["own", "own"]
 
 
+def test_entire_texts_against_sql(spark):
+    """Documents that are entire licences, wrapped and spelled otherwise, and some that aren't quite."""
+    import textwrap
+    from pathlib import Path
+
+    import duckdb
+
+    from skein.llm import queries
+
+    texts = [t for _, t in licenses.license_texts()]
+    texts += ["Copyright 2021 A. Person\n\n" + "\n\n".join(textwrap.fill(p, width) for p in t.split("\n")) for t in texts for width in (40, 72)]
+    texts += [t + " or not" for t in texts[:5]] + [t[:-20] for t in texts[:5]] + ["Licensed under the MIT License", "", None]
+    shipped = [(i, f) for i, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("MPL-2.0", "MPL-2.0")) for f in [Path("/usr/share/common-licenses", name)] if f.exists()]
+    texts += [f.read_text() for _, f in shipped] + [f.read_text().upper().replace("\n", "\r\n   ") for _, f in shipped]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(docs).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    expected = con.sql(f"SELECT doc_id, text_digest, license_id, notice_ids FROM ({queries.ORACLE_SQL['op10_licenses']})").fetchall()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    ids = {r.doc_id: r.license_id for r in found}
+    n = len(licenses.license_texts())
+    assert [ids[k] for k in range(n)] == [i for i, _ in licenses.license_texts()]
+    assert [ids[n + k] for k in range(2 * n)] == [i for i, _ in licenses.license_texts() for _ in range(2)]
+    assert [ids[len(texts) - 2 * len(shipped) + k] for k in range(2 * len(shipped))] == [i for i, _ in shipped] * 2
+    assert not any(ids[3 * n + k] for k in range(10)) and ids[3 * n + 10] == "MIT"
+
+
 def test_pipeline(spark, tmp_path):
     """The stages on planted cases: what each drops, and what is left in the end."""
     import corpus_pipeline
