@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +99,29 @@ def cumulative(df: DataFrame, order: str, value: str, name: str = "cumsum") -> D
 
 
 def cumulative_array(values: Column) -> Column:
-    """Inclusive prefix sums of an array of numbers."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out"))
-    return F.aggregate(values.cast("array<double>"), start, step)["out"]
+    """Inclusive prefix sums of an array of numbers; null from a null element on.
+
+    An Arrow function: built-in higher-order functions would copy the sums at each step.
+    """
+
+    def sums(own) -> pa.Array:
+        if own is None:
+            return None
+        x = np.asarray(own, np.float64)
+        gap = np.flatnonzero([v is None for v in own]) if None in own else ()
+        upto = np.cumsum(x if not len(gap) else x[: gap[0]]).tolist()
+        return upto + [None] * (len(own) - len(upto))
+
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            if column.null_count or column.values.null_count:
+                yield pa.array([sums(v) for v in column.to_pylist()], pa.list_(pa.float64()))
+                continue
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(column).to_pylist()])
+            out = np.empty(len(flat))
+            for a, z in zip(ends, ends[1:], strict=False):
+                np.cumsum(flat[a:z], out=out[a:z])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+
+    batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, "array<double>")(values.cast("array<double>"))

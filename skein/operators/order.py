@@ -4,59 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task numbers; and sampled rows for each range.
+from skein.sources.staged import staged
+
+#: Rows that one task numbers; and ranges up to which a row for each is broadcast.
 RANGE_ROWS = 1_000_000
-SAMPLED = 40
+BROADCAST_RANGES = 100_000
+#: Bits of an id that tell the place within a range.
+INSIDE = 33
+
 
+def _ranged(df: DataFrame, order: Sequence[str], range_rows: int, sort: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_range`` and, if sorted, ``_in``, their place from 0 in it; and (_range, _n, _before), how many rows a range has and come before it.
 
-def _ranges(df: DataFrame, order: Sequence[str], range_rows: int) -> Column:
-    """The number of the range of the order that a row lies in, by bounds sampled from the rows."""
-    n = df.count()
-    parts = 1 + n // range_rows
-    if parts == 1:
-        return F.lit(0)
-    rows = sorted(df.select(*order).dropna().sample(fraction=min(1.0, parts * SAMPLED / n), seed=1).collect())
-    bounds = [rows[len(rows) * k // parts] for k in range(1, parts)] if rows else []
-    kinds = [df.schema[c].dataType for c in order]
-    own = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(order)))
-    limits = [F.struct(*(F.lit(v).cast(t).alias(f"c{k}") for k, (v, t) in enumerate(zip(b, kinds, strict=True)))) for b in dict.fromkeys(bounds)]
-    if not limits:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*limits), lambda bound: bound <= own))
+    The rows are dealt by Spark's sampled ranges of the order and written once, as another run might sample other bounds.
+    """
+    parts = 1 + df.count() // range_rows
+    dealt = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    if sort:
+        dealt = dealt.sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    rows = staged(dealt.withColumn("_id", number), "ranges").withColumn("_range", F.shiftright("_id", INSIDE)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << INSIDE) - 1))).drop("_id")
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    return rows, F.broadcast(before) if parts <= BROADCAST_RANGES else before
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "place", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows with their 1-origin place in a total order (null first).
 
-    Rows are numbered within ranges of the order, and each range begins after the rows of those before it, so no task
-    holds more than about ``range_rows`` rows. The ranges' bounds take all columns of the order, so equal values of the
+    Rows are sorted and numbered within ranges of the order, and each range begins after the rows of those before it, so
+    no task holds more than about ``range_rows`` rows. The ranges take all columns of the order, so equal values of the
     first ones are split too.
     """
-    ranged = df.withColumn("_range", _ranges(df, order, range_rows))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    numbered = ranged.withColumn("_in", F.row_number().over(inside))
-    return numbered.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+    rows, before = _ranged(df, order, range_rows)
+    return rows.join(before, "_range").withColumn(name, F.col("_in") + F.col("_before") + 1).drop("_range", "_in", "_before", "_n")
 
 
 def running_sum(df: DataFrame, order: Sequence[str], weight: str, name: str = "upto", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows with the inclusive sum of weights up to each in a total order, by ranges as ``positions`` numbers them."""
-    ranged = df.withColumn("_range", _ranges(df, order, range_rows))
-    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_s"))
-    before = sums.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("_in", F.sum(weight).over(inside))
-    return summed.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+    rows, _ = _ranged(df, order, range_rows)
+    sums = rows.groupBy("_range").agg(F.sum(weight).alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).drop("_s")
+    inside = Window.partitionBy("_range").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_sum", F.sum(weight).over(inside))
+    return summed.join(before, "_range").withColumn(name, F.col("_sum") + F.col("_before")).drop("_range", "_in", "_before", "_sum")
 
 
-def nth(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The order statistic at 0-origin place ``n``; a negative one counts from the end."""
-    total = df.count()
-    return positions(df, order, "_place").filter(F.col("_place") == (n if n >= 0 else total + n) + 1).drop("_place")
+def nth(df: DataFrame, order: Sequence[str], n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The order statistic at 0-origin place ``n``; a negative one counts from the end. Only the range that holds it is sorted."""
+    rows, before = _ranged(df, order, range_rows, sort=False)
+    at = F.lit(n) if n >= 0 else F.sum("_n").over(Window.partitionBy()) + n
+    held = before.withColumn("_at", at).filter("_before <= _at AND _at < _before + _n").select("_range", (F.col("_at") - F.col("_before")).alias("_at"))
+    placed = rows.join(F.broadcast(held), "_range").withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return placed.filter("_place = _at + 1").drop("_range", "_in", "_at", "_place")
 
 
 def weighted_nth(df: DataFrame, key: str, weight: str, ns: Sequence[int]) -> DataFrame:
@@ -86,11 +89,14 @@ def neighbours(df: DataFrame, order: Sequence[str], key: str, group: Sequence[st
     if group:
         by = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn("before", F.lag(key).over(by)).withColumn("after", F.lead(key).over(by))
-    # no group: a row and its neighbours are at most one place apart, so places are joined to places
-    placed = positions(df, order, "_place")
-    near = placed.select(F.col("_place").alias("_at"), F.col(key).alias("_value"))
-    out = placed.join(near.select((F.col("_at") + 1).alias("_place"), F.col("_value").alias("before")), "_place", "left")
-    return out.join(near.select((F.col("_at") - 1).alias("_place"), F.col("_value").alias("after")), "_place", "left").drop("_place")
+    # no group: the windows lie within ranges, whose first and last rows look at the ranges next to them
+    rows, sizes = _ranged(df, order, RANGE_ROWS)
+    ends = rows.groupBy("_range").agg(F.min_by(key, "_in").alias("_first"), F.max_by(key, "_in").alias("_last"))
+    ends = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_prior"), F.lead("_first").over(Window.orderBy("_range")).alias("_next"))
+    by = Window.partitionBy("_range").orderBy("_in")
+    out = rows.withColumn("before", F.lag(key).over(by)).withColumn("after", F.lead(key).over(by)).join(sizes, "_range").join(ends, "_range")
+    out = out.withColumn("before", F.when(F.col("_in") == 0, F.col("_prior")).otherwise(F.col("before"))).withColumn("after", F.when(F.col("_in") == F.col("_n") - 1, F.col("_next")).otherwise(F.col("after")))
+    return out.drop("_range", "_in", "_n", "_before", "_prior", "_next")
 
 
 def run_ends(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,11 +63,11 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def equal_tables(a: DataFrame, b: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Whether each key has the same values in the same insertion order."""
+    """Whether each key has the same values in the same insertion order: rows of key, place and value are compared, no lists."""
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-        return df.groupBy(key).agg(values.alias(name))
+    def placed(df: DataFrame, sign: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+        return df.select(F.col(key).alias("key"), place.alias("place"), F.col(value).alias("value"), F.lit(sign).alias("sign"))
 
-    both = listed(a, "x").join(listed(b, "y"), key, "full")
-    return both.agg(F.coalesce(F.bool_and(F.col("x").eqNullSafe(F.col("y"))), F.lit(True)).alias("equal"))
+    left = placed(a, 1).unionByName(placed(b, -1)).groupBy("key", "place", "value").agg(F.sum("sign").alias("sign"))
+    return left.agg(F.coalesce(F.bool_and(F.col("sign") == 0), F.lit(True)).alias("equal"))

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Multipliers of the integer hash below, one for each row of a grid; the multiplier of its second step, and its prime.
-MULTIPLIERS = (1_103_515_245, 1_812_433_253, 1_566_083_941, 1_640_531_527)
-SECOND = 1_597_334_677
-PRIME = 2_147_483_647
+#: The hash below is under this.
+SPACE = 1 << 60
 
 
-def integer_hash(key: Column, row: int = 0) -> Column:
-    """A hash in 0..PRIME-1 by integer arithmetic that any SQL engine shares; keys are taken modulo the prime.
+def shared_hash(key: Column, row: int = 0) -> Column:
+    """A hash of 60 bits of a key of any type, that any SQL engine shares: the first 15 hexadecimal digits of the MD5 of the
+    key's text and the number of an independent row."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{row}"))), 1, 15), 16, 10).cast("long")
 
-    Two multiplications with a shift between them, so that neighbouring keys don't get evenly spaced hashes.
-    """
-    prime = F.lit(PRIME).cast("long")
-    once = F.pmod(F.pmod(key.cast("long"), prime) * F.lit(MULTIPLIERS[row]).cast("long") + F.lit(12345 + row).cast("long"), prime)
-    return F.pmod(once.bitwiseXOR(F.shiftright(once, 13)) * F.lit(SECOND).cast("long"), prime)
+
+def _cells(key: Column, width: int, depth: int) -> Column:
+    return F.array(*(F.struct(F.lit(r).alias("row"), (shared_hash(key, r) % F.lit(width).cast("long")).alias("cell")) for r in range(depth)))
 
 
 def count_min(df: DataFrame, key: str, width: int, depth: int = 4, amount: Column | None = None) -> DataFrame:
     """The grid of a count-min sketch, additive and so mergeable: (row, cell, cnt)."""
-    cells = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(integer_hash(F.col(key), r), F.lit(width).cast("long")).alias("cell")) for r in range(depth)))
     amount = F.lit(1) if amount is None else amount
-    return df.select(F.explode(cells).alias("c"), amount.alias("_a")).groupBy("c.row", "c.cell").agg(F.sum("_a").alias("cnt"))
+    return df.select(F.explode(_cells(F.col(key), width, depth)).alias("c"), amount.alias("_a")).groupBy("c.row", "c.cell").agg(F.sum("_a").alias("cnt"))
+
+
+def count_min_conservative(df: DataFrame, key: str, width: int, depth: int = 4) -> DataFrame:
+    """A count-min grid with conservative update: a key raises only those of its cells that its estimate requires.
+
+    Each task updates a grid of its own, and the grids are summed, which keeps estimates at or above the true counts and at
+    or below those of ``count_min``.
+    """
+
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, rows = np.zeros((depth, width), np.int64), np.arange(depth)
+        for batch in batches:
+            places = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            own, counts = np.unique(places, axis=0, return_counts=True)
+            for at, n in zip(own, counts, strict=True):
+                grid[rows, at] = np.maximum(grid[rows, at], grid[rows, at].min() + n)
+        row, cell = np.nonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(cell, pa.int64()), pa.array(grid[row, cell])], names=["row", "cell", "cnt"])
+
+    hashed = [(shared_hash(F.col(key), r) % F.lit(width).cast("long")).alias(f"c{r}") for r in range(depth)]
+    return df.filter(F.col(key).isNotNull()).select(*hashed).mapInArrow(update, "row int, cell bigint, cnt bigint").groupBy("row", "cell").agg(F.sum("cnt").alias("cnt"))
 
 
 def count_min_merge(grids: Sequence[DataFrame]) -> DataFrame:
@@ -39,8 +59,7 @@ def count_min_merge(grids: Sequence[DataFrame]) -> DataFrame:
 
 def count_min_estimate(grid: DataFrame, keys: DataFrame, key: str, width: int, depth: int = 4) -> DataFrame:
     """Each key's estimate, the least of its cells: never below the true count. The grid has width times depth rows."""
-    cells = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(integer_hash(F.col(key), r), F.lit(width).cast("long")).alias("cell")) for r in range(depth)))
-    wanted = keys.select(key).distinct().select(key, F.explode(cells).alias("c")).select(key, "c.row", "c.cell")
+    wanted = keys.select(key).distinct().select(key, F.explode(_cells(F.col(key), width, depth)).alias("c")).select(key, "c.row", "c.cell")
     return wanted.join(F.broadcast(grid), ["row", "cell"], "left").groupBy(key).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
 
 
@@ -52,13 +71,21 @@ def heavy_hitters(df: DataFrame, key: str, k: int, tracked: int = 10_000) -> Dat
 
 def minimum_values(df: DataFrame, key: str, k: int) -> DataFrame:
     """The k least distinct hashes: the state of a distinct-count sketch, which merges by union and ``minimum_values`` again."""
-    return df.filter(F.col(key).isNotNull()).select(integer_hash(F.col(key)).alias("h")).distinct().orderBy("h").limit(k)
+    return df.filter(F.col(key).isNotNull()).select(shared_hash(F.col(key)).alias("h")).distinct().orderBy("h").limit(k)
+
+
+def minimum_values_union(states: Sequence[DataFrame], k: int) -> DataFrame:
+    """The state of the union of the sets that have the states."""
+    whole = states[0]
+    for other in states[1:]:
+        whole = whole.unionByName(other)
+    return whole.select("h").distinct().orderBy("h").limit(k)
 
 
 def minimum_values_estimate(least: DataFrame, k: int) -> DataFrame:
     """Distinct keys and the standard error of the estimate; exact while fewer than k hashes are kept."""
     state = least.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("last"))
-    estimate = F.when(F.col("n") < k, F.col("n").cast("double")).otherwise(F.lit(float(k - 1)) / ((F.col("last").cast("double") + 1.0) / F.lit(float(PRIME))))
+    estimate = F.when(F.col("n") < k, F.col("n").cast("double")).otherwise(F.lit(float(k - 1)) / ((F.col("last").cast("double") + 1.0) / F.lit(float(SPACE))))
     return state.select(estimate.alias("n_unique"), F.when(F.col("n") < k, F.lit(0.0)).otherwise(estimate / F.sqrt(F.lit(float(max(k - 1, 1))))).alias("error"))
 
 
@@ -68,6 +95,15 @@ def minimum_values_jaccard(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return both.orderBy("h").limit(k).agg(F.try_divide(F.sum((F.col("side") == 3).cast("double")), F.count(F.lit(1)).cast("double")).alias("jaccard"))
 
 
+def distinct_of_union(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """Distinct keys of several tables, by the union of a sketch of each."""
+    whole = None
+    for df in parts:
+        one = df.agg(F.hll_sketch_agg(key).alias("hll"), F.theta_sketch_agg(key).alias("theta"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole.agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("theta"))
+
+
 def distinct_sketches(df: DataFrame, key: str) -> DataFrame:
     """Distinct counts by the built-in sketches."""
     return df.agg(
@@ -91,15 +127,22 @@ def exact_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fingerprints(df: DataFrame, key: str, bits: int) -> DataFrame:
     """The set of the keys' fingerprints, the lowest bits of a hash: membership without false negatives."""
-    return df.select(integer_hash(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("fp")).distinct()
+    return df.select(shared_hash(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("fp")).distinct()
 
 
 def fingerprint_members(known: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
     """The keys whose fingerprint is in the set; of a set of N, about 1 - exp(-N / 2^bits) of other keys are too."""
-    print_ = integer_hash(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    print_ = shared_hash(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     return keys.withColumn("fp", print_).join(known, "fp", "left_semi").drop("fp")
 
 
+def fingerprint_flags(known: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The keys with ``had``, whether their fingerprint was in the set before."""
+    print_ = shared_hash(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    named = known.select(F.col("fp").alias("_fp"), F.lit(True).alias("had"))
+    return keys.withColumn("_own", print_).join(named, F.col("_own") == F.col("_fp"), "left").withColumn("had", F.coalesce("had", F.lit(False))).drop("_own", "_fp")
+
+
 def fingerprint_remove(known: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
     return known.join(fingerprints(keys, key, bits), "fp", "left_anti")
 

@@ -37,18 +37,32 @@ def merge(parts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Basic statistics of the union, from those of its parts (n, least, greatest, mean, sdev)."""
     filled = parts.filter("n > 0")
     n = F.col("n").cast("double")
-    sums = filled.groupBy(*group).agg(
-        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
-        F.sum(n * F.col("mean")).alias("_s"), F.sum(n * F.col("sdev") * F.col("sdev")).alias("_v"), F.sum(n * F.col("mean") * F.col("mean")).alias("_q"),
+    # the parts' means, around the merged one: squares of large means would cancel
+    means = filled.groupBy(*group).agg(F.try_divide(F.sum(n * F.col("mean")), F.sum("n").cast("double")).alias("_mean"))
+    named = means.toDF(*(f"_g{k}" for k in range(len(group))), "_mean")
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    around = filled.join(named, same) if group else filled.crossJoin(named)
+    off = F.col("mean") - F.col("_mean")
+    sums = around.groupBy(*group).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.first("_mean").alias("_mean"),
+        F.sum(n * F.col("sdev") * F.col("sdev")).alias("_v"), F.sum(n * off * off).alias("_q"), F.sum(n * off).alias("_s"),
     )
-    mean = F.col("_s") / F.col("n")
-    variance = (F.col("_v") + F.col("_q")) / F.col("n") - mean * mean
-    return sums.select(*group, "n", "least", "greatest", mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sdev"))
+    shift = F.col("_s") / F.col("n")
+    variance = (F.col("_v") + F.col("_q")) / F.col("n") - shift * shift
+    return sums.filter("n > 0").select(*group, "n", "least", "greatest", (F.col("_mean") + shift).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sdev"))
 
 
 def normalized(df: DataFrame, x: str, group: Sequence[str], name: str = "share") -> DataFrame:
-    """Values divided by their group's sum."""
-    return df.withColumn(name, F.try_divide(F.col(x).cast("double"), F.sum(F.col(x).cast("double")).over(Window.partitionBy(*group))))
+    """Values divided by their group's sum. The sums are aggregated and joined back, so that no task holds a group."""
+    sums = df.groupBy(*group).agg(F.sum(F.col(x).cast("double")).alias("_sum"))
+    share = F.try_divide(F.col(x).cast("double"), F.col("_sum"))
+    if not group:
+        return df.crossJoin(F.broadcast(sums)).withColumn(name, share).drop("_sum")
+    named = sums.toDF(*(f"_g{k}" for k in range(len(group))), "_sum")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]
+    return df.join(named, same).withColumn(name, share).select(*df.columns, name)
 
 
 def frame(series: Sequence[str], order: Sequence[str], win: int) -> WindowSpec:

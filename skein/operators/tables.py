@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.sketch import shared_hash
+
 Made = Callable[[Column], Column]
 
 
@@ -20,6 +22,11 @@ def clear(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
+def add(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The multimap with more rows; keys and pairs that are there already stay and repeat."""
+    return df.unionByName(rows)
+
+
 def contains(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``keys`` with whether the table has each."""
     mark = df.select(key).distinct().withColumn("had", F.lit(True))
@@ -110,12 +117,12 @@ def index_by(df: DataFrame, op: Made, order: str, name: str = "index_key") -> Da
 
 def set_hash(df: DataFrame, key: str) -> DataFrame:
     """A hash of the set that doesn't depend on order."""
-    return df.select(key).distinct().agg(F.bit_xor(F.xxhash64(key)).alias("set_hash"))
+    return df.select(key).distinct().agg(F.bit_xor(shared_hash(F.col(key))).alias("set_hash"))
 
 
-def skew(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Rows of each hash partition, the counterpart of a report on probe depths."""
-    return df.groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+def skew(df: DataFrame, key: str, parts: int, hashed: Column | None = None) -> DataFrame:
+    """Rows of each hash partition, by Spark's hash or a given one: the counterpart of a report on probe depths."""
+    return df.groupBy(F.pmod(F.hash(key) if hashed is None else hashed, F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def all_values(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import bits
@@ -13,6 +14,9 @@ from skein.plans import streams
 from skein.sources import text
 
 FLAGSHIP = "lg_quantiles"
+#: ``sketch.shared_hash`` of a column, by the number of its row.
+HASH_SQL = "('0x' || substr(md5({0}::VARCHAR || ':{1}'), 1, 15))::BIGINT"
+H0 = HASH_SQL.replace("{1}", "0")
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -216,9 +220,9 @@ def pop_last(load, _):
 
 
 @query("""SELECT coalesce(p_partkey, l) AS k, CASE WHEN p_partkey IS NULL THEN -1 WHEN l IS NULL THEN p_size ELSE p_size + 100 END AS v
-          FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 = 0) FULL JOIN (SELECT DISTINCT l_partkey AS l FROM lineitem WHERE l_quantity >= 45) ON l = p_partkey""")
+          FROM (SELECT p_partkey, p_size FROM part WHERE p_size > 20) FULL JOIN (SELECT DISTINCT l_partkey AS l FROM lineitem WHERE l_quantity >= 45) ON l = p_partkey""")
 def edit_or_init(load, _):
-    base = load("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    base = load("part").filter("p_size > 20").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
     return tables.edit_or_init(base, load("lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("k")), "k", "v", lambda v: v + 100, F.lit(-1))
 
 
@@ -274,21 +278,21 @@ def direct_index(load, _):
     return tables.in_universe(load("nation").select("n_nationkey", "n_name"), "n_nationkey", 0, 63)
 
 
-@query("SELECT true AS same")
+@query(f"SELECT bit_xor(h) AS set_hash, bit_xor(h) AS again, (SELECT bit_xor(h) FROM (SELECT DISTINCT {H0.format('c_custkey')} AS h FROM customer)) AS other FROM (SELECT DISTINCT {H0.format('o_custkey')} AS h FROM orders)")
 def set_hash_order_free(load, _):
     rows = load("orders").select("o_custkey")
-    a, b = tables.set_hash(rows, "o_custkey"), tables.set_hash(rows.orderBy(F.col("o_custkey").desc()).unionByName(rows), "o_custkey")
-    return a.crossJoin(b.withColumnRenamed("set_hash", "other")).select((F.col("set_hash") == F.col("other")).alias("same"))
+    again, other = tables.set_hash(rows.orderBy(F.col("o_custkey").desc()).unionByName(rows), "o_custkey"), tables.set_hash(load("customer"), "c_custkey")
+    return tables.set_hash(rows, "o_custkey").crossJoin(again.toDF("again")).crossJoin(other.toDF("other"))
 
 
 # ---- set algebra
 
 
 def _sides(load):
-    return load("customer").select(F.col("c_nationkey").alias("k")), load("supplier").filter("s_suppkey % 7 < 3").select(F.col("s_nationkey").alias("k"))
+    return load("customer").select(F.col("c_nationkey").alias("k")), load("supplier").filter("s_acctbal < 2000").select(F.col("s_nationkey").alias("k"))
 
 
-B_SQL = "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 7 < 3"
+B_SQL = "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal < 2000"
 
 
 @query(f"SELECT c_nationkey AS k FROM customer UNION ALL (SELECT DISTINCT k FROM ({B_SQL}) WHERE k NOT IN (SELECT c_nationkey FROM customer))")
@@ -321,10 +325,11 @@ def multiset_compare(load, _):
     return setops.compare(load("orders").select(F.col("o_orderkey").alias("k")), load("lineitem").select(F.col("l_orderkey").alias("k")))
 
 
-@query("SELECT true AS equal")
+@query("""SELECT bool_and(a = b) AS equal, bool_and(a = c) AS other FROM (SELECT o_custkey, list(o_totalprice ORDER BY o_orderkey) AS a, list(o_totalprice ORDER BY o_orderkey) AS b, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c FROM orders GROUP BY 1)""")
 def table_equal(load, _):
-    rows = load("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("ord"))
-    return setops.equal_tables(rows, rows.orderBy(F.col("ord").desc()), "k", "v", "ord")
+    rows = load("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.struct("o_orderkey").alias("ord"), F.struct("o_orderdate", "o_orderkey").alias("dated"))
+    by_date = rows.select("k", "v", F.col("dated").alias("ord"))
+    return setops.equal_tables(rows, rows.orderBy(F.col("ord").desc()), "k", "v", "ord").crossJoin(setops.equal_tables(rows, by_date, "k", "v", "ord").toDF("other"))
 
 
 # ---- histograms and quantiles
@@ -467,6 +472,13 @@ def stats_merge(load, _):
     return rounded(stats.merge(parts, ["l_returnflag"]), "mean", "sdev")
 
 
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, 1e9 + min(l_quantity) AS least, 1e9 + max(l_quantity) AS greatest, round(1e9 + avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS sdev FROM lineitem GROUP BY 1")
+def stats_merge_offset(load, _):
+    """The same far from zero, where squares of the means would cancel."""
+    parts = stats.basic(load("lineitem").withColumn("x", F.col("l_quantity").cast("double") + F.lit(1e9)), "x", ["l_returnflag", "l_linenumber"])
+    return rounded(stats.merge(parts, ["l_returnflag"]), "mean", "sdev", to=4)
+
+
 @query("SELECT event_type, user_id, n, round(n / sum(n) OVER (PARTITION BY event_type), 9) AS share FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)")
 def normalized(load, _):
     by = load("events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -476,12 +488,15 @@ def normalized(load, _):
 FRAME_SQL = "PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW"
 
 
-@query(f"""SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, round(sqrt(greatest(var_pop(value) OVER w, 1e-30 * pow(avg(value) OVER w, 2))), 6) AS sdev, min(value) OVER w AS least, max(value) OVER w AS greatest,
-           min(value) OVER s AS least_ever, max(value) OVER s AS greatest_ever
-           FROM events WINDOW w AS ({FRAME_SQL}), s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+@query(f"""WITH m AS (SELECT event_id, count(value) OVER w AS n, avg(value) OVER w AS mean, list(value) OVER w AS xs, var_pop(value) OVER w AS v, min(value) OVER w AS least, max(value) OVER w AS greatest,
+           min(value) OVER s AS least_ever, max(value) OVER s AS greatest_ever FROM events WINDOW w AS ({FRAME_SQL}), s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+           c AS (SELECT *, list_avg(list_transform(xs, lambda x: pow(x - mean, 2))) AS m2, list_avg(list_transform(xs, lambda x: pow(x - mean, 3))) AS m3, list_avg(list_transform(xs, lambda x: pow(x - mean, 4))) AS m4 FROM m)
+           SELECT event_id, n, round(mean, 6) AS mean, round(sqrt(greatest(v, 1e-30 * pow(mean, 2))), 6) AS sdev, least, greatest, least_ever, greatest_ever,
+           round(CASE WHEN n > 1 THEN m3 / pow(m2, 1.5) END, 5) + 0 AS skew, round(CASE WHEN n > 1 THEN m4 / (m2 * m2) - 3 END, 5) + 0 AS kurt FROM c""")
 def moving_moments(load, _):
     out = stats.moving(load("events").select("event_id", "user_id", "ts", "value"), "value", ["user_id"], ["ts", "event_id"], 9)
-    return rounded(out.withColumn("sdev", F.sqrt("variance")), "mean", "sdev").select("event_id", "n", "mean", "sdev", "least", "greatest", "least_ever", "greatest_ever")
+    out = rounded(rounded(out.withColumn("sdev", F.sqrt("variance")), "mean", "sdev"), "skew", "kurt", to=5).withColumn("skew", F.col("skew") + 0).withColumn("kurt", F.col("kurt") + 0)
+    return out.select("event_id", "n", "mean", "sdev", "least", "greatest", "least_ever", "greatest_ever", "skew", "kurt")
 
 
 @query("""SELECT vec_id, len(embedding) AS n, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS sdev, round(list_min(embedding::DOUBLE[]), 6) AS least, round(list_max(embedding::DOUBLE[]), 6) AS greatest FROM embeddings""")
@@ -490,15 +505,9 @@ def array_moments(load, _):
     return rounded(load("embeddings").select("vec_id", *(c.alias(n) for n, c in made.items())), "mean", "sdev", "least", "greatest")
 
 
-@query("SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda k: round(list_sum(embedding[1:k]::DOUBLE[]), 4)) AS cumsum FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda k: round(list_sum(embedding[1:k]::DOUBLE[]), 4) + 0) AS cumsum FROM embeddings")
 def array_cumsum(load, _):
-    return load("embeddings").filter("vec_id % 50 = 0").select("vec_id", F.transform(hist.cumulative_array(F.col("embedding")), lambda x: F.round(x, 4)).alias("cumsum"))
-
-
-@query()
-def array_cumsum_all(load, _):
-    """Every row of the table; the SQL of ``array_cumsum`` is quadratic in an array's length and has one row in 50."""
-    return load("embeddings").select("vec_id", hist.cumulative_array(F.col("embedding")).alias("cumsum"))
+    return load("embeddings").select("vec_id", F.transform(hist.cumulative_array(F.col("embedding")), lambda x: F.round(x, 4) + 0).alias("cumsum"))
 
 
 # ---- moving histograms
@@ -605,9 +614,9 @@ def stable_sort_pos(load, _):
     return order.positions(rows, ["o_orderstatus", "back", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
-@query("SELECT o_orderstatus, o_custkey, o_orderkey FROM orders ORDER BY 1, 2 DESC, 3 LIMIT 500")
+@query("SELECT o_orderstatus, o_custkey, o_orderkey FROM orders ")
 def stable_sort_first(load, _):
-    return order.stable_sort(load("orders").select("o_orderstatus", "o_custkey", "o_orderkey"), ["o_orderstatus", "o_custkey"], "o_orderkey", ["o_custkey"]).limit(500)
+    return order.stable_sort(load("orders").select("o_orderstatus", "o_custkey", "o_orderkey"), ["o_orderstatus", "o_custkey"], "o_orderkey", ["o_custkey"])
 
 
 @query("""SELECT k, source, row_number() OVER (ORDER BY k, source) AS place FROM (SELECT c_custkey AS k, 0 AS source FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier UNION ALL SELECT p_partkey, 2 FROM part)""")
@@ -656,28 +665,21 @@ def ln_magnitude(load, _):
 
 # ---- sketches
 
-_ONCE = "((({0} % 2147483647) * {1} + {2}) % 2147483647)"
-HASH_SQL = f"((xor({_ONCE}, {_ONCE} >> 13) * {sketch.SECOND}::BIGINT) % 2147483647)"
-
-
-@query("SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM lineitem" for r, m in enumerate(sketch.MULTIPLIERS)) + ") GROUP BY 1, 2")
+@query("SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', r)} % 512 AS cell FROM lineitem" for r in range(4)) + ") GROUP BY 1, 2")
 def cms_grid(load, _):
     return sketch.count_min(load("lineitem"), "l_partkey", 512)
 
 
-@query("WITH k AS (SELECT DISTINCT l_partkey FROM lineitem), g AS (SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM lineitem" for r, m in enumerate(sketch.MULTIPLIERS)) + ") GROUP BY 1, 2), c AS (" + " UNION ALL ".join(f"SELECT l_partkey, {r} AS row, {HASH_SQL.format('l_partkey', m, 12345 + r)} % 512 AS cell FROM k" for r, m in enumerate(sketch.MULTIPLIERS)) + ") SELECT l_partkey, min(cnt) AS estimate FROM c JOIN g USING (row, cell) GROUP BY 1")
+@query("WITH k AS (SELECT DISTINCT l_partkey FROM lineitem), g AS (SELECT row, cell, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT {r} AS row, {HASH_SQL.format('l_partkey', r)} % 512 AS cell FROM lineitem" for r in range(4)) + ") GROUP BY 1, 2), c AS (" + " UNION ALL ".join(f"SELECT l_partkey, {r} AS row, {HASH_SQL.format('l_partkey', r)} % 512 AS cell FROM k" for r in range(4)) + ") SELECT l_partkey, min(cnt) AS estimate FROM c JOIN g USING (row, cell) GROUP BY 1")
 def cms_estimate(load, _):
     rows = load("lineitem")
     halves = [sketch.count_min(rows.filter(F.col("l_linenumber") % 2 == k), "l_partkey", 512) for k in (0, 1)]
     return sketch.count_min_estimate(sketch.count_min_merge(halves), rows, "l_partkey", 512)
 
 
-H0 = HASH_SQL.format("{0}", sketch.MULTIPLIERS[0], 12345)
-
-
 @query(f"""WITH h AS (SELECT DISTINCT {H0.format('l_partkey')} AS h FROM lineitem ORDER BY 1 LIMIT 256)
-           SELECT round(CASE WHEN count(*) < 256 THEN count(*)::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / 2147483647.0::DOUBLE) END, 6) AS n_unique,
-                  round(CASE WHEN count(*) < 256 THEN 0.0::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / 2147483647.0::DOUBLE) / sqrt(255.0::DOUBLE) END, 6) AS error FROM h""")
+           SELECT round(CASE WHEN count(*) < 256 THEN count(*)::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / {float(sketch.SPACE)!r}::DOUBLE) END, 6) AS n_unique,
+                  round(CASE WHEN count(*) < 256 THEN 0.0::DOUBLE ELSE 255.0::DOUBLE / ((max(h)::DOUBLE + 1) / {float(sketch.SPACE)!r}::DOUBLE) / sqrt(255.0::DOUBLE) END, 6) AS error FROM h""")
 def kmv_distinct(load, _):
     return rounded(sketch.minimum_values_estimate(sketch.minimum_values(load("lineitem"), "l_partkey", 256), 256), "n_unique", "error")
 
@@ -711,42 +713,86 @@ def fingerprint_deleted(load, _):
     return sketch.fingerprint_remove(sketch.fingerprints(rows, "c_custkey", 16), rows.filter("c_acctbal < 0"), "c_custkey", 16)
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY cnt DESC) AS place, cnt FROM (SELECT count(*) AS cnt FROM lineitem GROUP BY l_suppkey ORDER BY 1 DESC LIMIT 10)")
 def approx_heavy_hitters(load, _):
-    return sketch.heavy_hitters(load("lineitem"), "l_suppkey", 10)
+    """The counts, as equal ones may be of any key; they are exact while the keys are fewer than the tracked ones."""
+    top = sketch.heavy_hitters(load("lineitem"), "l_suppkey", 10)
+    return top.select(F.row_number().over(Window.orderBy(F.col("cnt").desc())).cast("long").alias("place"), "cnt")
 
 
-@query()
+@query("SELECT n, true AS approx_ok, true AS hll_ok, true AS theta_ok FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)")
 def approx_distinct(load, _):
-    return sketch.distinct_sketches(load("lineitem"), "l_partkey")
+    """The exact number, and whether each sketch is within a tenth of it."""
+    rows = load("lineitem")
+    both = sketch.distinct_sketches(rows, "l_partkey").crossJoin(rows.agg(F.count_distinct("l_partkey").alias("n")))
+    return both.select("n", *((F.abs(F.col(c) - F.col("n")) <= F.col("n") / 10).alias(f"{c}_ok") for c in ("approx", "hll", "theta")))
 
 
-@query()
+@query("SELECT n, true AS hll_ok, true AS theta_ok FROM (SELECT count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders))")
+def sketch_union(load, _):
+    """Distinct keys of two tables, and whether the union of the tables' sketches is within a tenth of them."""
+    parts = [load("customer").select(F.col("c_custkey").alias("k")), load("orders").select(F.col("o_custkey").alias("k"))]
+    both = sketch.distinct_of_union(parts, "k").crossJoin(parts[0].union(parts[1]).agg(F.count_distinct("k").alias("n")))
+    return both.select("n", *((F.abs(F.col(c) - F.col("n")) <= F.col("n") / 10).alias(f"{c}_ok") for c in ("hll", "theta")))
+
+
+@query("""SELECT count(*) AS in_either, count(*) FILTER (side = 3) AS in_both, true AS ok FROM
+          (SELECT o_custkey, bit_or(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) AS side FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1)""")
 def theta_jaccard(load, _):
+    """The exact sizes, and whether the estimated similarity is within 0.1."""
     rows = load("orders")
     a, b = (rows.filter(F.col("o_orderstatus") == s) for s in ("O", "F"))
-    return sketch.theta_similarity(a, b, "o_custkey")
+    exact = sketch.exact_similarity(a.select("o_custkey"), b.select("o_custkey"))
+    return exact.crossJoin(sketch.theta_similarity(a, b, "o_custkey").select(F.col("jaccard").alias("j"))).select("in_either", "in_both", (F.abs(F.col("j") - F.col("jaccard")) <= 0.1).alias("ok"))
+
+
+QUANTILE_SQL = "SELECT l_returnflag, q, round(exact, 2) AS exact, true AS ok FROM (SELECT l_returnflag, unnest([{0}]::DOUBLE[]) AS q, unnest(quantile_cont(l_extendedprice::DOUBLE, [{0}])) AS exact FROM lineitem GROUP BY 1)"
+#: The greatest error of a sketched quantile's rank, as a share of the rows, that the queries allow.
+RANK_ERROR = 0.02
 
 
-@query()
+def _checked(rows, found, qs):
+    """The exact quantiles, and whether the rank of the found ones is right within RANK_ERROR."""
+    x = F.col("l_extendedprice").cast("double")
+    share = lambda below: F.avg(below.cast("double"))
+    ranks = rows.select("l_returnflag", x.alias("x")).join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "q").agg(share(F.col("x") < F.col("value")).alias("lt"), share(F.col("x") <= F.col("value")).alias("le"))
+    exact = rows.groupBy("l_returnflag").agg(F.array(*(F.struct(F.lit(float(q)).alias("q"), F.round(F.percentile(x, float(q)), 2).alias("exact")) for q in qs)).alias("e")).select("l_returnflag", F.inline("e"))
+    ok = (F.col("lt") - RANK_ERROR <= F.col("q")) & (F.col("q") <= F.col("le") + RANK_ERROR)
+    return exact.join(ranks, ["l_returnflag", "q"]).select("l_returnflag", "q", "exact", ok.alias("ok"))
+
+
+@query(QUANTILE_SQL.format("0.01, 0.25, 0.5, 0.75, 0.99"))
 def kll_quantiles(load, _):
-    return sketch.sketched_quantiles(load("lineitem"), "l_extendedprice", (0.01, 0.25, 0.5, 0.75, 0.99), ["l_returnflag"])
+    qs = (0.01, 0.25, 0.5, 0.75, 0.99)
+    return _checked(load("lineitem"), sketch.sketched_quantiles(load("lineitem"), "l_extendedprice", qs, ["l_returnflag"]), qs)
 
 
-@query()
+@query(QUANTILE_SQL.format("0.0, 0.01, 0.5, 0.99, 1.0"))
 def tdigest_quantiles(load, _):
-    digests = tdigest.digest(load("lineitem"), "l_extendedprice", ["l_returnflag"])
-    return tdigest.quantiles(digests, (0.0, 0.01, 0.5, 0.99, 1.0), ["l_returnflag"])
+    qs = (0.0, 0.01, 0.5, 0.99, 1.0)
+    return _checked(load("lineitem"), tdigest.quantiles(tdigest.digest(load("lineitem"), "l_extendedprice", ["l_returnflag"]), qs, ["l_returnflag"]), qs)
 
 
-@query()
+@query("""SELECT l_returnflag, value, round(avg(CASE WHEN l_extendedprice <= value THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS exact, true AS ok
+          FROM lineitem, (SELECT unnest([1000.0, 30000.0, 90000.0]::DOUBLE[]) AS value) GROUP BY 1, 2""")
 def kll_shares(load, _):
-    return sketch.sketched_shares(load("lineitem"), "l_extendedprice", (1000.0, 30_000.0, 90_000.0), ["l_returnflag"])
+    """The exact shares, and whether the sketched ones are within RANK_ERROR."""
+    rows, values = load("lineitem"), (1000.0, 30_000.0, 90_000.0)
+    found = sketch.sketched_shares(rows, "l_extendedprice", values, ["l_returnflag"])
+    upto = rows.select("l_returnflag", "l_extendedprice").join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "value", "share")
+    upto = upto.agg(F.avg((F.col("l_extendedprice") <= F.col("value")).cast("double")).alias("e"))
+    return upto.select("l_returnflag", "value", F.round("e", 6).alias("exact"), (F.abs(F.col("e") - F.col("share")) <= RANK_ERROR).alias("ok"))
 
 
-@query()
+@query(f"SELECT {H0.format('l_partkey')} % 64 AS part, count(*) AS n FROM lineitem GROUP BY 1")
 def skew_report(load, _):
-    return tables.skew(load("lineitem"), "l_partkey", 64)
+    return tables.skew(load("lineitem"), "l_partkey", 64, sketch.shared_hash(F.col("l_partkey")))
+
+
+@query(f"SELECT c_name, {H0.format('c_name')} & 4095 IN (SELECT {H0.format('s_name')} & 4095 FROM supplier) AS had FROM customer")
+def fingerprint_flags(load, _):
+    """Keys that are texts."""
+    return sketch.fingerprint_flags(sketch.fingerprints(load("supplier"), "s_name", 12), load("customer").select("c_name"), "c_name", 12)
 
 
 # ---- streams

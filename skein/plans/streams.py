@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.sources.staged import shared_path
 from skein.streaming import running
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder for a stream's checkpoint, in the shared folder that the session names."""
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream, in the shared folder that the session names."""
+    return shared_path(spark, "stream")
 
 
 def as_stream(df: DataFrame) -> DataFrame:
@@ -32,10 +23,10 @@ def as_stream(df: DataFrame) -> DataFrame:
 def counts_of(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     stream = running.running_counts(as_stream(df.select(key)), key)
-    return running.run_available(stream, f"counts_{uuid.uuid4().hex}", _shared(spark), "complete")
+    return running.run_available(stream, _shared(spark), "complete")
 
 
 def moving_of(df: DataFrame, series: str, time: str, value: str, win: int) -> DataFrame:
     spark = df.sparkSession
     stream = running.moving_stats(as_stream(df.select(series, time, value)), series, time, value, win)
-    return running.run_available(stream, f"moving_{uuid.uuid4().hex}", _shared(spark))
+    return running.run_available(stream, _shared(spark))

@@ -28,8 +28,9 @@ def lines(df: DataFrame, text: str = "text", terminator: str = "\n", name: str =
 
 
 def words_alphabetic(df: DataFrame, text: str = "text", name: str = "word") -> DataFrame:
-    """Runs of ASCII letters, lowered after they are cut out, since lowering can turn other letters into ASCII ones."""
-    return df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z]+)"), 1)).alias(name)).select(F.lower(name).alias(name))
+    """Runs of ASCII letters, lowered. Only ASCII letters are, since lowering can turn others into ASCII ones."""
+    lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return df.select(F.explode(F.split(lowered, "[^a-z]+")).alias(name)).filter(F.col(name) != "")
 
 
 def words_between(df: DataFrame, text: str = "text", delimiters: str = DELIMITERS, name: str = "word") -> DataFrame:

@@ -63,10 +63,14 @@ def decayed_counts(stream: DataFrame, key: str, time: str, old: float, late: str
     return kept.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, weight double, n long", "weight double, n long", "update", "NoTimeout")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what there is, into a memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what there is into Parquet files in a shared folder, and read them. A batch that runs again replaces its files."""
+    out = f"{folder}/out"
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch-none")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch-{'last' if mode == 'complete' else number}")
 
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

@@ -437,14 +437,14 @@ def stream_of(spark, df, path):
 def test_streams(spark, tmp_path):
     data = spark.createDataFrame([("ab"[k % 2], k, float(k)) for k in range(20)], "s string, t long, x double").withColumn("t", F.timestamp_seconds("t"))
     stream = stream_of(spark, data, f"{tmp_path}/in")
-    found = running.run_available(running.running_counts(stream, "s"), "counted", f"{tmp_path}/c1", "complete")
+    found = running.run_available(running.running_counts(stream, "s"), f"{tmp_path}/c1", "complete")
     assert rows(found) == [("a", 10), ("b", 10)]
-    moved = running.run_available(running.moving_stats(stream, "s", "t", "x", 3), "moved", f"{tmp_path}/c2")
+    moved = running.run_available(running.moving_stats(stream, "s", "t", "x", 3), f"{tmp_path}/c2")
     last = moved.filter("s = 'a'").orderBy(F.col("t").desc()).first()
     assert (last.n, last["mean"], last.median) == (3, 16.0, 16.0) and moved.count() == 20
-    decayed = running.run_available(running.decayed_counts(stream, "s", "t", 0.5), "decayed", f"{tmp_path}/c3", "update")
+    decayed = running.run_available(running.decayed_counts(stream, "s", "t", 0.5), f"{tmp_path}/c3", "update")
     assert all(math.isclose(r.weight, sum(0.5**k for k in range(10))) and r.n == 10 for r in decayed.collect())
-    windows = running.run_available(running.windowed_counts(stream, "s", "t", "10 seconds", "0 seconds"), "windows", f"{tmp_path}/c4", "update")
+    windows = running.run_available(running.windowed_counts(stream, "s", "t", "10 seconds", "0 seconds"), f"{tmp_path}/c4", "update")
     assert windows.groupBy("s").sum("cnt").count() == 2
 
 
@@ -453,5 +453,5 @@ def test_every_row_gets_its_prefix_sums(spark, tmp_path):
 
     arrays = [(k, [float(k + j) for j in range(k % 7)]) for k in range(120)]
     spark.createDataFrame(arrays, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = {r.vec_id: r.cumsum for r in registry.QUERIES["array_cumsum_all"](spark, str(tmp_path)).collect()}
+    found = {r.vec_id: r.cumsum for r in registry.QUERIES["array_cumsum"](spark, str(tmp_path)).collect()}
     assert found == {k: [sum(a[: j + 1]) for j in range(len(a))] for k, a in arrays}
