@@ -5,15 +5,18 @@ frequencies over the whole corpus, fewer than ``RARE`` times a document. Common
 an item's runs always are. Rarity is judged by words and not by the runs themselves, so that a passage stays rare
 however often it has leaked. A passage with a seed is joined to the item, and the words around the seeds are aligned
 with the item's: two points for a match, minus one for a replaced, missing or added word. The best local score over its
-maximum is the item's score; from ``THRESHOLD`` on, and with at least the points of ``LEAST`` words, the document is
-contaminated. A copy with three of ten words replaced reaches about 0.55, half of an item 0.5.
+maximum is the item's score; from ``THRESHOLD`` on, and with at least the points of ``POINTS`` words, the document is
+contaminated. A copy with three of ten words replaced reaches about 0.55, half of an item 0.5. Items of fewer than
+``LEAST`` words can't be told from ordinary phrases by a part of them: they match where all their words follow each
+other, and those with fewer words than a seed where these are a whole line.
 
 The items are looked up on the map side in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes more passes
 over the corpus, not more memory. Texts aren't shuffled.
 
-Defined results: words are lowercase runs of letters, digits and underscores. Null and empty texts match nothing; items
-with fewer than ``LEAST`` words can't be told from ordinary phrases and match nothing. A text matches each item once, by
-its best alignment, the first of equal ones. Repeated documents or items give repeated rows. Empty tables give no rows.
+Defined results: words are lowercase runs of letters, digits and underscores; in scripts without spaces each character is
+a word. Null and empty texts and items without words match nothing. A text matches each item once, by its best
+alignment, the first of equal ones. Repeated documents or items give repeated rows. Empty tables give no rows. Further
+columns are ignored by ``contaminations`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ from skein.llm.shared import bounded_batches, slices
 SEED = 4
 RARE = 1e-3
 THRESHOLD = 0.4
-LEAST = 8
+LEAST, POINTS = 8, 6
 BLOCK_WORDS = 500_000
 MATCH, OTHER = 2, -1
 MATCHES = "array<struct<item:int,score:double,first_word:int,last_word:int>>"
 
-words = re.compile(r"\w+").findall
+#: Scripts that are written without spaces. Ranges of code points (Thai, Lao, Myanmar, Khmer, kana, Han).
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+words = re.compile(rf"[{_SPACELESS}]|[^\W{_SPACELESS}]+").findall
 
 
 def split_words(text: str | None) -> list[str]:
@@ -77,6 +82,10 @@ class Items:
         own = [split_words(t) for t in texts]
         self.number = {w: n for n, w in enumerate(sorted({w for t in own for w in t}), 1)}
         self.items = [np.array([self.number[w] for w in t], np.int64) for t in own]
+        self.tiny: dict[tuple, list[int]] = {}
+        for k, t in enumerate(own):
+            if 0 < len(t) < SEED:
+                self.tiny.setdefault(tuple(t), []).append(k)
         self.seeds: np.ndarray = np.empty(0, np.uint64)
         self.where: list[list[tuple[int, int]]] = []
 
@@ -100,9 +109,11 @@ class Items:
         share = np.maximum(counts, 1) / max(total, 1)
         chosen: dict[int, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
+            runs = self.runs(item)
             if len(item) < LEAST:
+                for run in runs[:1]:
+                    chosen.setdefault(int(run), []).append((k, 0))
                 continue
-            runs = self.runs(item)
             chance = sum(np.log(share[item[j : j + len(runs)]]) for j in range(SEED)) + np.log(max(total, 1) / max(documents, 1))
             for at in np.flatnonzero((chance < np.log(RARE)) | (chance <= np.median(chance))):
                 chosen.setdefault(int(runs[at]), []).append((k, int(at)))
@@ -110,8 +121,22 @@ class Items:
         self.where = [chosen[int(s)] for s in self.seeds]
 
     def matches(self, text: str | None) -> list[dict]:
-        if not text or not len(self.seeds):
+        if not text:
             return []
+        found = (self._lines(text) if self.tiny else []) + (self._passages(text) if len(self.seeds) else [])
+        return [{"item": k, "score": score, "first_word": first, "last_word": last} for k, score, first, last in sorted(found)]
+
+    def _lines(self, text: str) -> list[tuple[int, float, int, int]]:
+        """Items of fewer words than a seed that are the words of a line, the first of equal ones."""
+        found, at = {}, 0
+        for line in text.split("\n"):
+            own = split_words(line)
+            for k in self.tiny.get(tuple(own), ()) if len(own) < SEED else ():
+                found.setdefault(k, (k, 1.0, at, at + len(own) - 1))
+            at += len(own)
+        return list(found.values())
+
+    def _passages(self, text: str) -> list[tuple[int, float, int, int]]:
         numbers = self.numbers(text)
         known = numbers != 0
         if len(known) < SEED:
@@ -129,10 +154,15 @@ class Items:
             for item, offset in self.where[seed]:
                 starts.setdefault(item, []).append(int(place) - offset)
         found = []
-        for item, begins in sorted(starts.items()):
+        for item, begins in starts.items():
+            n = len(self.items[item])
+            if n < LEAST:
+                whole = [b for b in begins if np.array_equal(numbers[b : b + n], self.items[item])]
+                found += [(item, 1.0, min(whole), min(whole) + n - 1)] if whole else []
+                continue
             best = self._best(item, sorted(set(begins)), numbers)
-            if best[0] >= MATCH * LEAST and (score := best[0] / (MATCH * len(self.items[item]))) >= THRESHOLD:
-                found.append({"item": item, "score": score, "first_word": best[1], "last_word": best[2]})
+            if best[0] >= MATCH * POINTS and (score := best[0] / (MATCH * n)) >= THRESHOLD:
+                found.append((item, score, best[1], best[2]))
         return found
 
     def _best(self, item: int, begins: list[int], numbers: np.ndarray) -> tuple[int, int, int]:
