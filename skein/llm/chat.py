@@ -30,7 +30,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import stage
+from skein.llm.shared import small_or_shuffled, stage
 
 CALLS = "struct<content:string,tool_calls:array<struct<arguments:string,depends_on:array<string>,id:string,name:string>>>"
 RESULT = "struct<content:string,tool_call_id:string>"
@@ -111,7 +111,7 @@ def _argument_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """(rid, problem) for the calls (rid, call, name, arguments) whose arguments break their tool's schema."""
     named = F.concat(F.col("name"), F.lit("."), F.col("property"), F.lit(": "))
     tools = schemas.filter("property IS NULL").select(F.col("name").alias("known"), "closed")
-    known = calls.join(tools, F.col("name") == F.col("known"), "left")
+    known = calls.join(small_or_shuffled(tools), F.col("name") == F.col("known"), "left")
     unknown = known.filter("known IS NULL").select("rid", F.concat(F.lit("unknown tool "), F.coalesce("name", F.lit("null"))).alias("problem"))
     parsed = known.filter("known IS NOT NULL").select("rid", "call", "name", "closed", F.try_parse_json("arguments").alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
@@ -122,7 +122,7 @@ def _argument_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         "rid", "call", "name", "closed", F.col("key").alias("property"), _kind(F.schema_of_variant("value")).alias("kind"), F.to_json("value").alias("value")
     )
     properties = schemas.filter("property IS NOT NULL").drop("closed")
-    wanted = objects.select("rid", "call", "name").join(properties, "name")
+    wanted = objects.select("rid", "call", "name").join(small_or_shuffled(properties), "name")
     pairs = wanted.join(given.drop("name", "closed"), ["rid", "call", "property"], "left")
     is_number = F.col("kind").isin("integer", "number")
     number = F.when(is_number, F.col("value").try_cast("double"))
@@ -136,7 +136,7 @@ def _argument_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(number > F.col("maximum"), F.concat(named, F.lit("too large")))
     )
     broken = pairs.select("rid", problem.alias("problem")).filter("problem IS NOT NULL")
-    extra = given.filter("closed AND property IS NOT NULL").join(properties.select("name", "property"), ["name", "property"], "left_anti").select("rid", F.concat(named, F.lit("unknown")).alias("problem"))
+    extra = given.filter("closed AND property IS NOT NULL").join(small_or_shuffled(properties.select("name", "property")), ["name", "property"], "left_anti").select("rid", F.concat(named, F.lit("unknown")).alias("problem"))
     return unknown.unionByName(shapeless).unionByName(broken).unionByName(extra)
 
 
