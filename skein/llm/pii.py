@@ -5,14 +5,16 @@ that fail their test are dropped. The field then reads the text around every dig
 base match covers. It scores whole candidate segments, of at most ``LONGEST`` tokens, by features of the span (shape,
 digits, checksums, words before it) for each type, and a dynamic program over the segments' boundaries chooses boundaries
 and types jointly; base matches are fixed segments that others can't overlap. So the field only adds spans: written-out
-emails, phones without a country code, cards with other separators, and secrets given to a name such as token or key.
+emails, phones without a country code, cards with other separators, social security numbers, and secrets: passwords and
+keys given to a name such as token or password, and keys that tell by their form. Labels of neighbouring segments don't
+interact: sentences with several entities are rare enough that there would be little to learn from.
 
 The field is trained when a query is built, by gradient steps on the conditional log-likelihood of generated sentences
 with a fixed seed, so every run has the same weights.
 
 Defined results: positions are code points, ends exclusive. A null or empty text has no spans. Whole texts are read, in
 linear time. Repeated rows give repeated rows; an empty table gives an empty result. Spans are ordered by kind (email, ip,
-card, phone, secret), then start.
+card, phone, secret, ssn), then start. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 from skein.llm.shared import bounded_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = (*KINDS, "secret")
+LABELS = (*KINDS, "secret", "ssn")
 #: Bounds of a segment that the field may choose: tokens, and code points.
 LONGEST = 16
-WIDEST = 96
-FOUND = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>"
+WIDEST = 192
+FOUND = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,n_secret:bigint,n_ssn:bigint,n_added:bigint,n_spans:bigint>"
 
 Span = tuple[str, int, int]
 
@@ -83,30 +85,40 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-_token = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]").finditer
+_token = re.compile(r"[^\W_]+|\S").finditer
 _trigger = re.compile(r"[0-9@]").finditer
 _dots = re.compile(r"(?:^|(?<=[\s(\[]))dot(?=[\s)\]])", re.I).finditer
-_runs = (re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]+"), re.compile(r"\s+"))
+_runs = (re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\s+"))
 _written = re.compile(r"[\w.]+ ?[\[(]? ?at ?[\])]? ?\w+(?: ?[\[(]? ?dot ?[\])]? ?\w+)+", re.I).fullmatch
 
+#: Characters that join a span to what is before it; and what joins it to what follows.
+_JOINTS = frozenset("._%+-@/=")
+_goes_on = re.compile(r"[-._@/=]\w| ?[\[(]? ?dot[\])]? ?\w", re.I).match
+
 #: Words that announce a kind.
 CUES = {
     **dict.fromkeys(("email", "mail", "write", "contact"), "email"),
     **dict.fromkeys(("ip", "host", "server", "address"), "ip"),
     **dict.fromkeys(("card", "visa", "mastercard", "credit"), "card"),
     **dict.fromkeys(("phone", "call", "tel", "fax", "mobile"), "phone"),
-    **dict.fromkeys(("token", "key", "secret", "password"), "secret"),
+    **dict.fromkeys(("token", "key", "secret", "password", "passwd", "pwd", "passphrase", "credential", "bearer", "apikey"), "secret"),
+    **dict.fromkeys(("ssn", "social"), "ssn"),
 }
+#: How keys of well-known services begin. Fixed values.
+_PREFIXES = ("AKIA", "ASIA", "AIza", "sk-", "pk_", "sk_", "rk_", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "eyJ")
+_code = re.compile(r"[A-Za-z0-9_+/=.~-]+").fullmatch
+_three = re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}").fullmatch
 
 
-def span_features(text: str, cue: str) -> list[str]:
-    """Features of a whole candidate span; ``cue`` is the kind that a word before it announces, or nothing."""
+def span_features(text: str, cue: str, cut: str = "00") -> list[str]:
+    """Features of a whole candidate span; ``cue`` is the kind that a word before it announces, or nothing, and ``cut``
+    tells whether what is before and after it seems to belong to it."""
     shape = text[:WIDEST]
     for run, mark in zip(_runs, "9a_", strict=True):
         shape = run.sub(mark, shape)
     digits = _digits(text)
     n, parts = len(digits), text.split(".")
-    out = ["bias", f"shape={shape[:24]}", f"digits={min(n, 20)}", f"cue={cue}", f"first={shape[0]}", f"last={shape[-1]}"]
+    out = ["bias", f"shape={shape[:24]}", f"digits={min(n, 20)}", f"cue={cue}", f"first={shape[0]}", f"last={shape[-1]}", f"cut={cut}"]
     if 13 <= n <= 19 and set(shape) <= set("9_-./"):
         out.append(f"luhn={luhn(digits)}")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
@@ -115,8 +127,17 @@ def span_features(text: str, cue: str) -> list[str]:
         out.append(f"at={bool(re.fullmatch(r'[\w.%+-]+@[\w-]+(?:[.][\w-]+)+', text))}")
     elif _written(text):
         out.append("written")
-    if len(text) >= 16 and text.isalnum() and n:
-        out.append(f"code={n < len(text)}")
+    if n and _code(text):
+        # how a code looks: its length, the classes of its characters, how often it changes between them, whether it is known
+        classes = f"{any('a' <= c <= 'z' for c in text):d}{any('A' <= c <= 'Z' for c in text):d}"
+        size, runs = min(len(text).bit_length(), 7), min(len(shape) // 2, 6)
+        out += [f"code={classes}", f"code,size={size}", f"code,size={size},runs={runs}", f"code,cue={cue},size={size}", f"code,cue={cue},{classes}"]
+        if text.startswith(_PREFIXES):
+            out.append(f"prefix,long={len(text) >= 16}")
+        if text.count(".") == 2 and text.startswith("eyJ"):
+            out.append("signed")
+    if _three(text):
+        out.append(f"three,cue={cue}")
     if set(shape) <= set("9_-.()") and n:
         out.append(f"numeric,cue={cue},digits={min(n, 20)}")
     return out
@@ -157,7 +178,8 @@ class Tokens:
                 own = self.text[start:end]
                 if any("0" <= c <= "9" for c in own) or "@" in own or _written(own):
                     cue = self.cue(i) if cue is None else cue
-                    yield i, j, span_features(own, cue)
+                    cut = f"{start > 0 and self.text[start - 1] in _JOINTS:d}{_goes_on(self.text, end) is not None:d}"
+                    yield i, j, span_features(own, cue, cut)
 
 
 class Field:
@@ -239,27 +261,46 @@ def _generated(chance: random.Random) -> tuple[str, list[Span]]:
         head = number(15)
         return head + next(d for d in "0123456789" if luhn(head + d))
 
-    kind = chance.choice((*LABELS, *LABELS, "", ""))
+    def code(letters: str, low: int, high: int) -> str:
+        n = chance.randint(low, high)
+        made = [chance.choice(letters) for _ in range(n)]
+        made[chance.randrange(n)] = chance.choice("0123456789")
+        return "".join(made)
+
+    hexadecimal, lower = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    mixed = lower + lower.upper() + "0123456789"
+    base64 = mixed + "-_"
+    kind = chance.choice((*LABELS, *LABELS, "secret", "", "", ""))
     area, line = number(3), number(4)
     separator = chance.choice((" ", "-", ".", "/"))
+    known = kind == "secret" and chance.random() < 0.4  # a key that tells by its form, whatever is before it
     own = {
-        "email": lambda: chance.choice((f"{word()}.{number(2)}@{word()}.com", f"{word()} at {word()} dot com", f"{word()}[at]{word()}[dot]org", f"{word()} (at) {word()} (dot) com")),
+        "email": lambda: chance.choice((f"{word()}.{number(2)}@{word()}.com", f"{word()} at {word()} dot com", f"{word()}.{word()} at {word()} dot com", f"{word()}[at]{word()}[dot]org", f"{word()} (at) {word()} (dot) com", f"{word()} at {word()} dot {word()} dot net")),
         "ip": lambda: ".".join(str(chance.randint(0, 255)) for _ in range(4)),
         "card": lambda: (c := card(), chance.choice((c, separator.join(c[k : k + 4] for k in range(0, 16, 4)))))[1],
-        "phone": lambda: chance.choice((f"+1 ({area}) 555-{line}", f"({area}) 555-{line}", f"{area}-555-{line}", f"{area}.555.{line}", f"+44 {area} {line}{number(2)}")),
-        "secret": lambda: "".join(chance.choice("0123456789abcdef") for _ in range(chance.choice((32, 40)))),
+        "phone": lambda: chance.choice((f"+1 ({area}) {number(3)}-{line}", f"({area}) {number(3)}-{line}", f"{area}-{number(3)}-{line}", f"{area}.{number(3)}.{line}", f"+44 {area} {line}{number(2)}")),
+        "secret": lambda: chance.choice((f"AKIA{code(lower.upper(), 16, 16)}", f"{chance.choice(('sk-', 'ghp_', 'xoxb-', 'pk_'))}{code(mixed, 20, 40)}", f"eyJ{code(base64, 10, 30)}.eyJ{code(base64, 10, 50)}.{code(base64, 20, 43)}"))
+        if known
+        else chance.choice((code(hexadecimal, 24, 64), code(mixed, 16, 48), f"{word()}{number(chance.randint(1, 4))}{chance.choice(('', word()))}", code(lower + "0123456789", 8, 20))),
+        "ssn": lambda: f"{area}-{number(2)}-{line}",
         "": lambda: chance.choice(
-            (number(chance.randint(1, 8)), number(16), f"20{number(2)}-0{chance.randint(1, 9)}-1{chance.randint(0, 9)}", f"{number(1)}.{number(1)}.{number(2)}", f"300.{number(3)}.{number(2)}.999", f"{number(2)}:{number(2)}", f"{number(3)}-{number(3)}", f"@{word()}")
+            (number(chance.randint(1, 8)), number(16), f"20{number(2)}-0{chance.randint(1, 9)}-1{chance.randint(0, 9)}", f"{number(1)}.{number(1)}.{number(2)}", f"300.{number(3)}.{number(2)}.999", f"{number(2)}:{number(2)}", f"{number(3)}-{number(3)}", f"@{word()}",
+             f"{word()}{number(2)}", f"{word()}{number(1)}", code(mixed, 5, 10), code(hexadecimal, 6, 40), f"v{number(1)}.{number(1)}", f"{word()}-{number(3)}", f"{number(2)}{word()}", f"{word()}_{number(4)}.{word()}",
+             f"{word()} at the dot {chance.choice(('on', 'in', 'of'))} {word()} {number(2)}", f"a dot at {word()} {number(1)}", f"{number(2)}-{number(2)}, {number(2)}-{number(2)}", f"{number(3)}-{number(1)}-{number(2)}-{number(6)}-{number(1)}")
         ),
     }[kind]()
-    cue = chance.choice([c for c, k in CUES.items() if k == kind]) if kind and (kind == "secret" or chance.random() < 0.5) else word()
-    mark = chance.choice((' = "', ": ", "=")) if kind == "secret" else chance.choice((" ", " ", ": "))
+    cue = chance.choice([c for c, k in CUES.items() if k == kind]) if kind and not known and (kind in ("secret", "ssn") or chance.random() < 0.5) else word()
+    if kind == "" and chance.random() < 0.2:  # a number or a code after a word that announces something else
+        cue = chance.choice(("email", "host", "call", "key", "card"))
+        own = chance.choice((number(2), f"{number(1)}:{number(2)}", f"v{number(1)}"))
+    mark = chance.choice((' = "', ": ", "=", ": '")) if kind == "secret" else chance.choice((" ", " ", ": "))
+    quote = mark[-1] if mark[-1] in "'\"" else ""
     head = f"{word()} {word()} {cue}{mark}"
-    tail = f"{'"' if '"' in mark else ''}{chance.choice(('', '.', ',', '!!'))} {word()} {word()}"
+    tail = f"{quote}{chance.choice(('', '.', ',', '!!'))} {word()} {word()}"
     return head + own + tail, [(kind, len(head), len(head) + len(own))] if kind else []
 
 
-def train(sentences: int = 360, epochs: int = 4, seed: int = 7) -> Field:
+def train(sentences: int = 700, epochs: int = 4, seed: int = 7) -> Field:
     chance, field, squares = random.Random(seed), Field(), {}
     taught = [_generated(chance) for _ in range(sentences)]
     for epoch in range(epochs):
@@ -323,24 +364,26 @@ def joined(spans: list[Span]) -> str:
 
 
 def found_column(field: Field, text: Column) -> Column:
-    """A struct of the base counts, the base spans' SHA-256, and all spans."""
+    """A struct of the base counts, the base spans' SHA-256, all spans, and counts of the added ones and of all."""
 
     def one(value: str) -> tuple:
         base = base_spans(value)
         counts = [sum(1 for b in base if b[0] == k) for k in KINDS] if base else [0] * 4
-        return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added_spans(field, value, base)))
+        added = added_spans(field, value, base)
+        more = [sum(1 for a in added if a[0] == k) for k in ("secret", "ssn")]
+        return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), *more, len(added), len(base) + len(added))
 
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+        names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_ssn", "n_added", "n_spans"]
         for column in columns:
             rows = [one(t or "") for part in slices(column) for t in part]
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)], names=names)
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string() if k in (4, 5) else pa.int64()) for k in range(len(names))], names=names)
 
     batches.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, FOUND)(text)
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_ssn, n_added (spans of the field), n_spans."""
     bounded_batches(docs)
     return docs.select(F.col(doc_id).alias("doc_id"), found_column(train(), F.col(text)).alias("f")).select("doc_id", "f.*")
