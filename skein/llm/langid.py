@@ -10,7 +10,8 @@ else reads whole texts of all rows. Only the text enters a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. The score is one minus the distance's
 share of its maximum. Rows with a null language, text or id teach nothing; without a row to learn from, every document is
-``und``. Repeated rows and ties give equal results. Empty tables give empty results.
+``und``. Of several texts of an id with one language the least teaches. Repeated rows and ties give equal results. Empty
+tables give empty results. Further columns are kept by ``keep_identified`` and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     low = usable.join(small_or_shuffled(sizes), F.col("lang") == F.col("of")).filter(F.col("u") < F.lit(float(SPARE * sample)) / F.col("size"))
     first = Window.partitionBy("lang").orderBy("u", "id")
     chosen = low.dropDuplicates(["id", "lang"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id", "lang")
-    taught = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang"]).select("lang", "text")
+    taught = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for row in taught.collect():
         by_lang.setdefault(row.lang, []).append(grams(row.text or ""))

@@ -10,7 +10,8 @@ over its whole text, and from its text alone.
 
 Defined results: a null text is an empty one, whose feature is 0. Labels that are null or of a null id teach nothing, a
 label other than 0 counts as 1, and a document with both labels teaches both. With no label of one class, or none at
-all, the score is the smoothed share of good labels. Repeated rows get equal scores; an empty table gives an empty result.
+all, the score is the smoothed share of good labels. Of several texts of an id the least teaches. Further columns are
+ignored. Repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     marks = labels.select(F.col(doc_id).alias("id"), (F.col(label) != 0).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").distinct()
     some = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "id")
-    taught = sorted(((r.y, r.text.encode()) for r in rows.dropDuplicates(["id", "y"]).collect()), key=lambda r: (r[0], len(r[1]), r[1]))
+    taught = sorted(((r.y, r.text.encode()) for r in rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect()), key=lambda r: (r[0], len(r[1]), r[1]))
     by = {y: [t for k, t in taught if k == y] for y in (0, 1)}
     prior = (len(by[1]) + 1) / (len(taught) + 2)
     if len(by[0]) < 2 or len(by[1]) < 2:

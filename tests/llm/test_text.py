@@ -400,3 +400,57 @@ def test_dictionaries_learn_from_whole_texts(spark, monkeypatch):
         assert sum(map(len, own)) == sum(map(len, texts[::2])) and max(map(len, own)) <= quality.TRAIN_BYTES
     assert b"".join(quality.parts(b"ab" * quality.TRAIN_BYTES + b"c")) == b"ab" * quality.TRAIN_BYTES + b"c"
     assert quality.parts(b"") == [b""]
+
+
+def test_what_is_learned_does_not_depend_on_the_order_of_rows(spark):
+    """Of several texts of an id the least one teaches, in language ID and in quality; clashing columns don't matter."""
+    docs, labels = quality_tables(spark)
+    rows = [(k, t, "en" if k % 2 else "fr", "id", 1) for k, t in docs if k is not None and k < 400] + [(k, "another text of it", "en", "id", 0) for k in range(0, 60)]
+    schema, marks = "doc_id long, text string, lang string, id string, y int", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, two = (spark.createDataFrame(r, schema) for r in (rows, rows[::-1]))
+    assert sorted(map(tuple, quality.score_documents(one, marks).collect())) == sorted(map(tuple, quality.score_documents(two, marks).collect()))
+    assert sorted(map(tuple, langid.identify(one).collect())) == sorted(map(tuple, langid.identify(two).collect()))
+
+
+def test_predictions_equal_profiles_by_hand():
+    """The nearest language by out-of-place distances that are counted from padded words without arrays."""
+    chance = random.Random(3)
+    vocabulary = {"x": ["aba", "cad", "bab", "é"], "y": ["dad", "cab", "add", "ü"]}
+    prose = lambda lang, n: " ".join(chance.choice(vocabulary[lang if chance.random() < 0.8 else "x"]) for _ in range(n))
+
+    def counts(text):
+        out = {}
+        for gram, n in zip(*langid.grams(text), strict=True):
+            out[int(gram)] = out.get(int(gram), 0) + int(n)
+        return out
+
+    taught, ranks = {k: prose(k, 300) for k in vocabulary}, 12
+    place = {}
+    for k, text in taught.items():
+        own = langid.ranked(*langid.grams(text), ranks)
+        place[k] = {int(g): n for n, g in enumerate(own)}
+        by = counts(text)
+        assert [by[int(g)] for g in own] == sorted(by.values(), reverse=True)[:ranks]
+    profiles = langid.Profiles({k: langid.ranked(*langid.grams(t), ranks) for k, t in taught.items()}, ranks)
+    for _ in range(60):
+        text = prose(chance.choice("xy"), chance.randint(1, 30))
+        own = [int(g) for g in langid.ranked(*langid.grams(text), ranks)]
+        far = {k: sum(abs(n - p[g]) if g in p else ranks for n, g in enumerate(own)) for k, p in place.items()}
+        lang, score = profiles.predict(text)
+        assert far[lang] == min(far.values()) and abs(score - (1 - far[lang] / (len(own) * ranks))) < 1e-12
+
+
+def test_features_equal_compression_by_hand():
+    """A score is the calibrated difference of the blocks' compressed sizes, by the library's own calls."""
+    import zstandard
+
+    good, bad = quality.dictionary([f"the an in {k} res or the".encode() * 3 for k in range(200)]), quality.dictionary([f"ZX!! QQ {k} !!".encode() * 3 for k in range(200)])
+    scorer = quality.Scorer(good, bad, 2.0, 0.5, 3.0)
+    for text in (b"x", b"the an in res or " * 600, b"ZX!! QQ !! " * 2000):
+        size = 0
+        for k in range(0, len(text), quality.BLOCK):
+            for raw, sign in ((bad, 1), (good, -1)):
+                c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+                size += sign * len(c.compress(text[k : k + quality.BLOCK]))
+        expected = 1 / (1 + np.exp(-(2.0 * 3.0 * size / len(text) + 0.5)))
+        assert abs(scorer.score(text) - expected) < 1e-9
