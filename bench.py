@@ -15,7 +15,7 @@ from skein.plans import registry  # noqa: E402
 HEADLINES = [
     "most_common_part", "counter_merge", "frecency_event_type", "word_freq_alpha", "word_freq_delim", "line_freq", "unique_lines", "anagram_groups", "upsert_last", "get_or_default", "delete_one_occurrence",
     "multiset_compare", "lg_quantiles", "quantile_midrank", "hist_distribution", "moments_pop", "stats_merge", "moving_moments", "moving_q_linear", "ew_hist_final", "rank_of", "kway_merge_pos", "diffs_ratios_returns",
-    "cms_estimate", "kmv_distinct", "fingerprint_set", "kll_quantiles",
+    "cms_estimate", "kmv_distinct", "fingerprint_set", "kll_quantiles", "tdigest_quantiles", "running_q_exp", "stream_counts", "stream_moving_stats", "order_stat_nth", "neighbors",
 ]
 
 
