@@ -33,6 +33,9 @@ SPELLINGS = (
     ("https ", "http "),
 )
 
+#: Those of several words.
+DIVISIBLE = tuple(pair for pair in SPELLINGS if " " in pair[0].strip())
+
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"""
 _ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -97,7 +100,7 @@ DIGESTS = {
     "GFDL-1.3": ("525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff",),
     "GPL-1.0": ("37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9",),
     "GPL-2.0": ("ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0",),
-    "GPL-3.0": ("42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545",),
+    "GPL-3.0": ("ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b",),
     "LGPL-2.0": ("bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389",),
     "LGPL-2.1": ("ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97",),
     "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
@@ -150,8 +153,11 @@ def canonical(text: Column) -> Column:
 
 
 def whole(lines: Column) -> Column:
-    """Canonical lines as one line."""
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    """Canonical lines as one line, with the spellings of several words that a line's end had divided."""
+    text = F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    for own, one in DIVISIBLE:
+        text = F.replace(text, F.lit(own), F.lit(one))
+    return text
 
 
 def known_table(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:

@@ -99,6 +99,8 @@ def _license_sql() -> str:
     for own, one in licenses.SPELLINGS:
         lines = f"replace({lines}, {text(own)}, {text(one)})"
     one = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'), ' ')"
+    for own, other in licenses.DIVISIBLE:
+        one = f"replace({one}, {text(own)}, {text(other)})"
     known = lambda rows: f"SELECT sha256({one}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {lines} AS lines FROM (VALUES {', '.join(f'({text(i)}, {text(t)})' for i, t in rows)}) AS v(license_id, text)) GROUP BY 1"
     pinned = ", ".join(f"('{digest}', '{i}')" for i, digest in licenses.pinned())
     return f"""
