@@ -87,6 +87,6 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
         return left.drop(digest)
     once = left.join(small_or_shuffled(repeated), same(repeated), "left_anti")
     taken = left.join(small_or_shuffled(repeated), same(repeated), "left_semi").withColumn(
-        one, F.row_number().over(Window.partitionBy(doc_id, digest).orderBy(F.col(text).desc()))
+        one, F.row_number().over(Window.partitionBy(doc_id, digest).orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc(), F.col(text).desc()))
     )
     return once.drop(digest).unionByName(taken.filter(F.col(one) == 1).drop(one, digest))

@@ -46,6 +46,21 @@ def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows) == sorted([(False, 8, "a  b "), (False, 6, " \n"), (True, 0, "c "), (False, 9, "é" * 5000), (False, 11, "z"), (False, 11, "y")])
     again = exact_dedup.drop_copies(frame(spark, [(1, "q"), (1, "q"), (1, "q"), (2, "r")])).collect()
     assert sorted(r.doc_id for r in again) == [1, 2]
+    # equal texts of one id: the longest stays, whatever order the texts have
+    assert [r.text for r in exact_dedup.drop_copies(frame(spark, [(1, "ab"), (1, "a b")])).collect()] == ["a b"]
+
+
+def test_drop_copies_of_ids_with_rows_that_stay_and_rows_that_go(spark):
+    """What stays are the rows that are kept, also where an id or no id has several texts."""
+    chance = random.Random(11)
+    texts = ["a b", "ab", "a  b", "c", " c", "", None, " ", "d"]
+    rows = [(chance.choice([None, 1, 2, 3, 4, 5, 6]), chance.choice(texts)) for _ in range(60)] + [(k, f"own {k}") for k in range(7, 12)] + [(12, "d"), (13, "c")]
+    best = {}
+    for doc_id, text in rows:
+        key = re.sub(r"[\x20\x09-\x0d]+", "", text or "")
+        best[key] = min(best.get(key, (1, True, 0)), (-len(text or ""), doc_id is None, doc_id or 0))
+    out = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert sorted((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in out) == sorted(best.values())
 
 
 def test_empty_tables(spark):
