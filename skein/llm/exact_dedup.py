@@ -69,24 +69,23 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", su
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
-    Dropped rows are named by (doc_id, digest), which outlives a rescan where row numbers wouldn't. Where a row that
-    stays has the same id and text as one that goes, only those rows are dealt out by that key and one is taken.
+    Dropped rows are named by their id, which outlives a rescan where row numbers wouldn't. Only rows of ids that have
+    both rows that stay and rows that go are hashed again: those with a kept digest stay, one row for each.
     """
     groups = exact_groups(docs, text, doc_id, support)
-    named = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     digest, key, sha, one = (free_name(docs, x) for x in ("digest", "drop_id", "drop_sha", "row_of_key"))
-    marks = stage(named.filter(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), "kept"), "drops")
-    plain, repeated = marks.filter(~F.col("kept")).drop("kept"), marks.filter("kept").drop("kept")
-    rows = docs.withColumn(digest, text_digest(F.col(text)))
-
-    def same(side: DataFrame) -> Column:
-        return F.col(doc_id).eqNullSafe(side[key]) & (F.col(digest) == side[sha])
-
-    left = rows.join(small_or_shuffled(plain), same(plain), "left_anti")
-    if repeated.isEmpty():
-        return left.drop(digest)
-    once = left.join(small_or_shuffled(repeated), same(repeated), "left_anti")
-    taken = left.join(small_or_shuffled(repeated), same(repeated), "left_semi").withColumn(
-        one, F.row_number().over(Window.partitionBy(doc_id, digest).orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc(), F.col(text).desc()))
-    )
-    return once.drop(digest).unionByName(taken.filter(F.col(one) == 1).drop(one, digest))
+    kept = groups.groupBy("doc_id").agg(F.bool_and("kept").alias("every"), F.bool_or("kept").alias("some"))
+    marks = stage(kept.filter("NOT every").select(F.col("doc_id").alias(key), F.col("some").alias(one)), "drops")
+    gone, mixed = marks.filter(~F.col(one)).select(key), marks.filter(F.col(one)).select(key)
+    same_id = F.col(doc_id).eqNullSafe(F.col(key))
+    left = docs.join(small_or_shuffled(gone), same_id, "left_anti")
+    if mixed.isEmpty():
+        return left
+    mixed = small_or_shuffled(mixed)
+    stay = groups.filter("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    stay = stage(stay.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)), "kept-texts")
+    hashed = left.join(mixed, same_id, "left_semi").withColumn(digest, text_digest(F.col(text)))
+    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+    of_kept = hashed.join(small_or_shuffled(stay), same_id & (F.col(digest) == F.col(sha)), "left_semi")
+    taken = of_kept.withColumn(one, F.row_number().over(Window.partitionBy(doc_id, digest).orderBy(size.desc(), F.col(text).desc())))
+    return left.join(mixed, same_id, "left_anti").unionByName(taken.filter(F.col(one) == 1).drop(one, digest))
