@@ -33,7 +33,7 @@ from skein.llm.shared import bounded_batches, slices
 SHORT = 64
 #: Pieces of text that a process remembers, and the code points of text that are encoded together.
 REMEMBER = 150_000
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Rows of a matrix.
 ROWS = 1 << 14
 ENCODING = "struct<ids:binary,decoded:string>"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of bare keys (at most a few dozen bytes each) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 #: Bytes of text that a Python worker takes out of an Arrow batch at a time.
 SLICE_BYTES = 1 << 22
 
