@@ -367,6 +367,44 @@ def test_series(spark):
     assert order.diffs(order.succeeding(zero, "v", ["t"], ["s"])).first().ratio is None
 
 
+# ---- exact quantiles, digests where rows lie
+
+
+def exchanges_below(df, operator):
+    """Whether the first ``operator`` of the plan, counted from the scan, has an exchange below it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    planned = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert operator in plan and operator in planned
+    return "Exchange" in planned[planned.rindex(operator) :]
+
+
+def test_digests_are_built_where_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(tdigest, "HELD", 1000, raising=False)
+    data = np.random.default_rng(5).normal(size=30_000)
+    df = spark.createDataFrame([(None if k % 3 == 2 else k % 3, float(x)) for k, x in enumerate(data)], "g int, x double").repartition(3)
+    digests = tdigest.digest(df.sortWithinPartitions("x"), "x", ["g"])
+    assert not exchanges_below(tdigest.digest(spark.range(9), "id"), "MapInArrow")
+    found = {(r.g, r.q): r.value for r in tdigest.quantiles(digests, (0.0, 0.01, 0.5, 0.99, 1.0), ["g"]).collect()}
+    assert len(found) == 15
+    for (g, q), value in found.items():
+        own = data[2 if g is None else g :: 3]
+        assert abs((own <= value).mean() - q) < 0.01 and (q not in (0.0, 1.0) or value == np.quantile(own, q))
+    many = spark.range(3000).select((F.col("id") % 500).alias("g"), F.array(F.col("id") % 7).alias("a"), F.col("id").cast("double").alias("x"))
+    assert {r.weight for r in tdigest.weight(tdigest.digest(many, "x", ["g"])).collect()} == {6.0}
+    assert tdigest.digest(many, "x", ["a"]).count() == 7 and tdigest.weight(tdigest.digest(many, "x")).first().weight == 3000
+
+
+@pytest.mark.parametrize("range_rows", [7, 100, 10**6])
+def test_exact_quantiles_by_ranges(spark, range_rows):
+    chance, qs = random.Random(11), (0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0)
+    data = {g: [chance.randint(-60, 60) / 4 for _ in range(n)] for g, n in ((None, 1), ("a", 2), ("b", 333), ("c", 90))}
+    df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs], "g string, x double").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    found = order.weighted_quantiles(df, "x", "n", qs, ["g"], range_rows).collect()
+    assert len(found) == 4 * len(qs) and all(math.isclose(r.value, np.quantile(data[r.g], r.q), abs_tol=1e-12) for r in found)
+    whole = order.weighted_quantiles(df.groupBy("x").agg(F.sum("n").alias("n")), "x", "n", qs, range_rows=range_rows).collect()
+    assert {r.q: r.value for r in whole} == pytest.approx({q: np.quantile([x for xs in data.values() for x in xs], q) for q in qs})
+
+
 # ---- sketches, bits
 
 
