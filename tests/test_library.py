@@ -439,6 +439,14 @@ def test_distinct_and_similarity(spark):
         assert abs(n / 20_000 - 1) < 0.15
 
 
+def test_distinct_sketches_are_within_a_tenth(spark, tmp_path):
+    from skein.plans import registry
+
+    for k in (13, 152, 194):  # where a standard error of 0.05 is off by more
+        spark.range(k * 20_000, (k + 1) * 20_000).withColumnRenamed("id", "l_partkey").write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert tuple(registry.QUERIES["approx_distinct"](spark, f"{tmp_path}/{k}").first()) == (20_000, True, True, True)
+
+
 def test_fingerprint_sets(spark):
     known = sketch.fingerprints(spark.range(1000).withColumnRenamed("id", "k"), "k", 16)
     probe = spark.range(500, 5000).withColumnRenamed("id", "k")
