@@ -64,11 +64,27 @@ def count_min_estimate(grid: DataFrame, keys: DataFrame, key: str, width: int, d
 
 
 def heavy_hitters(df: DataFrame, key: str, k: int, tracked: int = 10_000) -> DataFrame:
-    """The k most frequent keys by a bounded sketch, least frequent first; k is at most what is tracked."""
+    """The k most frequent keys by a bounded sketch, least frequent first; k is at most what is tracked. Counts are estimates
+    where there are more keys than that, and keys that the sketch can't tell from the others are left out."""
     top = df.agg(F.expr(f"approx_top_k(`{key}`, {min(k, tracked)}, {tracked})").alias("top"))
     return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias(key), F.col("t.count").alias("cnt")).orderBy("cnt", key)
 
 
+def verified_hitters(df: DataFrame, key: str, k: int, tracked: int = 10_000, width: int = 1 << 16) -> DataFrame:
+    """The k most frequent keys, null being one of them, with their exact counts, most frequent first; of equal ones the lesser keys.
+
+    The least exact count of the k keys of ``heavy_hitters`` is a floor of the k-th count (1 where the sketch tells of fewer).
+    Keys are counted exactly where their cell, of ``width`` cells of a hash, reaches the floor; no other key can.
+    """
+    keys = df.select(key)
+    found = keys.join(F.broadcast(heavy_hitters(keys, key, k, tracked).select(key)), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    floor = found.agg(F.when(F.count(F.lit(1)) >= k, F.min("_n")).otherwise(F.lit(1)).alias("_floor"))
+    own = F.pmod(F.xxhash64(key), F.lit(width))
+    cells = keys.groupBy(own.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(floor), F.col("_n") >= F.col("_floor")).select("_cell")
+    kept = keys.join(F.broadcast(cells), own == F.col("_cell"), "left_semi")
+    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), key).limit(k)
+
+
 def minimum_values(df: DataFrame, key: str, k: int) -> DataFrame:
     """The k least distinct hashes: the state of a distinct-count sketch, which merges by union and ``minimum_values`` again."""
     return df.filter(F.col(key).isNotNull()).select(shared_hash(F.col(key)).alias("h")).distinct().orderBy("h").limit(k)

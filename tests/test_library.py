@@ -425,6 +425,21 @@ def test_heavy_hitters(spark):
     assert [r.k for r in sketch.heavy_hitters(df, "k", 3).collect()] == [2, 1, 0]
 
 
+def test_heavy_hitters_are_exact_for_more_keys_than_are_tracked(spark, tmp_path):
+    from skein.plans import registry
+
+    # 30,000 keys of two rows each, and twelve with up to eleven more
+    df = spark.range(60_000).select((F.col("id") % 30_000).alias("l_suppkey")).union(spark.sql("SELECT 7 * k FROM (SELECT explode(sequence(1, 12)) AS k) LATERAL VIEW explode(sequence(1, k)) AS n"))
+    df.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(registry.QUERIES["approx_heavy_hitters"](spark, str(tmp_path))) == [(k, 15 - k) for k in range(1, 11)]
+    for width in (4, 1 << 16):  # the sketch tells of three keys, and cells of several keys lie above the floor
+        skewed = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN id % 5 ELSE id END AS k").union(spark.sql("SELECT CAST(NULL AS long) FROM range(605)"))
+        assert [tuple(r) for r in sketch.verified_hitters(skewed, "k", 3, 64, width).collect()] == [(None, 605), (0, 600), (1, 600)]
+    zeros = column(spark, [0.0, -0.0, 0.0, -0.0, 1.0, 1.0, 1.0, 2.0], "double")
+    assert [tuple(r) for r in sketch.verified_hitters(zeros, "k", 2).collect()] == [(0.0, 4), (1.0, 3)]
+    assert sketch.verified_hitters(zeros, "k", 9).count() == 3 and sketch.verified_hitters(zeros.limit(0), "k", 9).count() == 0
+
+
 def test_distinct_and_similarity(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     least = sketch.minimum_values(df.union(df), "k", 1024)
