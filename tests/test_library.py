@@ -405,6 +405,18 @@ def test_exact_quantiles_by_ranges(spark, range_rows):
     assert {r.q: r.value for r in whole} == pytest.approx({q: np.quantile([x for xs in data.values() for x in xs], q) for q in qs})
 
 
+@pytest.mark.parametrize(("name", "qs"), [("kll_quantiles", (0.01, 0.25, 0.5, 0.75, 0.99)), ("tdigest_quantiles", (0.0, 0.01, 0.5, 0.99, 1.0))])
+def test_no_task_holds_a_groups_values(spark, tmp_path, name, qs):
+    from skein.plans import registry
+
+    data = {flag: [round(x, 2) for x in np.random.default_rng(k).uniform(900, 9000, 400).tolist()] for k, flag in enumerate(("A", "N", None))}
+    spark.createDataFrame([(flag, x) for flag, xs in data.items() for x in xs], "l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.l_returnflag, r.q) for r in found.collect()} == {(flag, q) for flag in data for q in qs}
+    assert all(r.ok and abs(r.exact - np.quantile(data[r.l_returnflag], r.q)) < 0.0051 for r in found.collect())
+
+
 # ---- sketches, bits
 
 
