@@ -74,8 +74,9 @@ def weighted_nth(df: DataFrame, key: str, weight: str, ns: Sequence[int]) -> Dat
 def weighted_quantiles(df: DataFrame, x: str, weight: str, qs: Sequence[float], group: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """(group..., q, value): each group's exact quantiles, interpolated, of distinct values that count ``weight`` times.
 
-    The values are dealt to ranges as ``positions`` deals them, and only the ranges that hold a quantile are summed up to its
-    place, so no task holds more than about ``range_rows`` values.
+    The values are dealt to ranges as ``positions`` deals them, and only the ranges that hold a quantile are shuffled and summed
+    up to its place, so what a task reads there follows from the quantiles and ``range_rows``, not from the number of values.
+    Where more than BROADCAST_RANGES places are asked for, the values may be shuffled to find them.
     """
     rows, _ = _ranged(df, [*group, x], range_rows, sort=False)
     by = Window.partitionBy(*group)
@@ -84,11 +85,12 @@ def weighted_quantiles(df: DataFrame, x: str, weight: str, qs: Sequence[float],
     asked = sums.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs)))).withColumn("_at", (F.col("_total") - 1) * F.col("q"))
     asked = asked.filter((F.col("_before") <= F.ceil("_at")) & (F.floor("_at") < F.col("_before") + F.col("_s")))
     keys = [*group, "_range"]
-    held = asked.select(*(F.col(k).alias(f"_h{k}") for k in keys), "_before", "q", "_at")
+    held = staged(asked.select(*(F.col(k).alias(f"_h{k}") for k in keys), "_before", "q", "_at"), "held")
+    small = F.broadcast if held.count() <= BROADCAST_RANGES else lambda df: df
     same = [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys]
-    near = rows.join(held.select(*(f"_h{k}" for k in keys)).distinct(), same, "left_semi")
+    near = rows.join(small(held.select(*(f"_h{k}" for k in keys)).distinct()), same, "left_semi")
     upto = near.withColumn("_upto", F.sum(weight).over(Window.partitionBy(*keys).orderBy(x)))
-    placed = upto.join(held, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    placed = upto.join(small(held), same).withColumn("_upto", F.col("_upto") + F.col("_before"))
     at = lambda place: F.max(F.when((place < F.col("_upto")) & (F.col("_upto") - F.col(weight) <= place), F.col(x)))
     ends = placed.groupBy(*group, "q", "_at").agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"))
     over = F.col("_at") - F.floor("_at")

@@ -405,6 +405,26 @@ def test_exact_quantiles_by_ranges(spark, range_rows):
     assert {r.q: r.value for r in whole} == pytest.approx({q: np.quantile([x for xs in data.values() for x in xs], q) for q in qs})
 
 
+def test_only_ranges_that_hold_a_quantile_are_shuffled(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where values are many
+    try:
+        found = order.weighted_quantiles(df, "x", "n", (0.5,), ["g"], 100)
+        planned = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in planned and "SortMergeJoin" not in planned
+        assert rows(found) == [(0, 0.5, 1999.0), (1, 0.5, 2000.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_places_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(order, "BROADCAST_RANGES", 3)
+    df = spark.range(600).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), F.lit(2).alias("n"))
+    found = order.weighted_quantiles(df, "x", "n", (0.0, 0.5, 1.0), ["g"], 50)
+    assert rows(found) == [(g, q, np.quantile(np.repeat(np.arange(g, 600.0, 3), 2), q)) for g in range(3) for q in (0.0, 0.5, 1.0)]
+
+
 @pytest.mark.parametrize(("name", "qs"), [("kll_quantiles", (0.01, 0.25, 0.5, 0.75, 0.99)), ("tdigest_quantiles", (0.0, 0.01, 0.5, 0.99, 1.0))])
 def test_no_task_holds_a_groups_values(spark, tmp_path, name, qs):
     from skein.plans import registry
